@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Words that a worker's cache keeps: two generations of this many.
+CACHED_WORDS = 150_000
+
 _own: dict[str, str] = {}
 
 
@@ -74,3 +78,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+class WordCache:
+    """word -> make(word), keeping the words of the last two generations."""
+
+    def __init__(self, make: Callable[[str], object], size: int = CACHED_WORDS):
+        self.make, self.size, self.new, self.old = make, size, {}, {}
+
+    def all(self, words: list[str]) -> list:
+        new, old = self.new, self.old
+        out = list(map(new.get, words))
+        if None in out:
+            make = self.make
+            for k, v in enumerate(out):
+                if v is None:
+                    w = words[k]
+                    v = new.get(w)
+                    if v is None:
+                        v = old.get(w)
+                        new[w] = v = make(w) if v is None else v
+                    out[k] = v
+            if len(new) > self.size:
+                self.old, self.new = new, {}
+        return out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gatewright.llm import sharding
+from gatewright.llm import fingerprints, packing, pieces, sharding, url_filters
 
-MODULES = (sharding,)
+MODULES = (fingerprints, packing, pieces, sharding, url_filters)
 
 
 def queries() -> dict:
