@@ -96,7 +96,7 @@ def with_next(df: DataFrame, key: str, carry: list[str], pieces: int | None = No
     """
     spark = df.sparkSession
     pieces = pieces or min(4096, 4 * partitions(spark))
-    low = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    low = F.coalesce(F.col(key).cast("long"), F.lit(1 - (1 << 63)))
     probs = [i / pieces for i in range(1, pieces + 1)]
     cuts = df.select(F.percentile_approx(low, probs, 10 * pieces)).first()[0]
     cuts = sorted(set(cuts or [0]), reverse=True)
