@@ -46,6 +46,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, n: int = 5, over: int =
     return out.select(key, "n_shingles", component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(True)).alias("kept"))
 
 
+def deduplicate(df: DataFrame, key: str, text: str, n: int = 5, over: int = 80, of: int = 100) -> DataFrame:
+    """The rows of df whose key is the smallest of their group; of rows with equal key and text one stays."""
+    kept = cut(near_duplicates(df, key, text, n, over, of).where("kept").select(F.col(key).alias("__k")).distinct(), "kept")
+    return df.join(kept, F.col(key).eqNullSafe(F.col("__k")), "left_semi").dropDuplicates([key, text])
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", n=3, over=85, of=100)
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from gatewright.llm import fingerprints, language_id, near_dedup, packing, passages, pieces, sharding, url_filters
+from gatewright.llm import fingerprints, language_id, lm_scoring, near_dedup, packing, passages, pieces, sharding, url_filters
 
-MODULES = (fingerprints, language_id, near_dedup, packing, passages, pieces, sharding, url_filters)
+MODULES = (fingerprints, language_id, lm_scoring, near_dedup, packing, passages, pieces, sharding, url_filters)
 
 
 def queries() -> dict:
-    out: dict = {}
+    import corpus_pipeline
+
+    out: dict = {"pipeline": corpus_pipeline.run}
     for module in MODULES:
         out |= module.QUERIES
     return out
 
 
 def oracle_sql() -> dict:
-    out: dict = {}
+    import corpus_pipeline
+
+    out: dict = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     for module in MODULES:
         out |= getattr(module, "ORACLE_SQL", {})
     return out
