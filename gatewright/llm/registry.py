@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gatewright.llm import fingerprints, language_id, lm_scoring, near_dedup, packing, passages, pieces, sharding, url_filters
+from gatewright.llm import embedding_dedup, fingerprints, language_id, lm_scoring, near_dedup, packing, passages, pieces, sharding, url_filters
 
-MODULES = (fingerprints, language_id, lm_scoring, near_dedup, packing, passages, pieces, sharding, url_filters)
+MODULES = (embedding_dedup, fingerprints, language_id, lm_scoring, near_dedup, packing, passages, pieces, sharding, url_filters)
 
 
 def queries() -> dict:
