@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
+from gatewright.plans import measure
+
+MODULES = (measure,)
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for module in MODULES:
+    if again := set(QUERIES) & set(module.plans.queries):
+        raise ValueError(f"queries {sorted(again)} are registered twice")
+    QUERIES |= module.plans.queries
+    ORACLE_SQL |= module.plans.sql
