@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gatewright.plans import measure
+from gatewright.plans import decide, measure
 
-MODULES = (measure,)
+MODULES = (decide, measure)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
