@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gatewright.plans import decide, measure
+from gatewright.plans import corpus, decide, measure
 
-MODULES = (decide, measure)
+MODULES = (corpus, decide, measure)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
