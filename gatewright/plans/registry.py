@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gatewright.plans import corpus, decide, measure
+from gatewright.plans import corpus, decide, learn, measure
 
-MODULES = (corpus, decide, measure)
+MODULES = (corpus, decide, learn, measure)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
