@@ -95,6 +95,7 @@ def with_next(df: DataFrame, key: str, carry: list[str], pieces: int | None = No
     of the rows suffices and no piece holds more than its share.
     """
     spark = df.sparkSession
+    df = df.drop(*[f"next_{c}" for c in carry])
     pieces = pieces or min(4096, 4 * partitions(spark))
     low = F.coalesce(F.col(key).cast("long"), F.lit(1 - (1 << 63)))
     probs = [i / pieces for i in range(1, pieces + 1)]

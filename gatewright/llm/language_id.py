@@ -136,7 +136,9 @@ def sample(df: DataFrame, key: str, text: str, label: str, learn: Column, per_la
 
 
 def predict(df: DataFrame, key: str, text: str, model: KernelModel, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """df with the predicted language and a score from 0 to 1 (softmax of the languages' scores)."""
+    """df with the predicted language and a score from 0 to 1 (softmax of the languages' scores), in place of columns of
+    these names."""
+    df = df.drop(*[c for c in (lang, score) if c not in (key, text)])
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: PLACES x landmarks
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{lang}` string, `{score}` double"
     at = df.columns.index(text)

@@ -149,11 +149,13 @@ def _spans(text: str, paragraphs: list[tuple[int, int]], places: list[int], size
 
 
 def clean(df: DataFrame, key: str, text: str, out: str = "removed") -> DataFrame:
-    """df with `text` cleaned and `out`: the removed spans (start, end in code points of the old text).
+    """df with `text` cleaned and `out` (in place of a column of this name): the removed spans (start, end in code points
+    of the old text).
 
     Rows that lose nothing keep their text and get an empty array; rows with equal keys lose the same paragraphs and
     windows.
     """
+    df = df.drop(*[c for c in (out,) if c not in (key, text)])
     paragraphs, places = removals(df, key, text)
     lost = paragraphs.where("not kept").groupBy(F.col(key).alias("__k")).agg(F.collect_set(F.struct("start", "end")).alias("__p"))
     plan = lost.join(places.select(F.col(key).alias("__k"), F.col("at").alias("__w")), "__k", "full_outer")

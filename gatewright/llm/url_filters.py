@@ -94,10 +94,12 @@ def _longest_paths(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(df: DataFrame, url: str, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """df with host, path, rule (host followed by path; null if none fits) and verdict. rules: host, path, verdict."""
+    """df with host, path, rule (host followed by path; null if none fits) and verdict, in place of columns of these
+    names. rules: host, path, verdict."""
     rules = rules.where("host is not null and path is not null and verdict is not null").select(lower_ascii(F.col("host")).alias("host"), "path", "verdict").distinct()
     host, path = host_and_path(F.col(url))
-    parsed = df.withColumn("host", host).withColumn("path", path)
+    others = [c for c in df.columns if c == url or c not in ("host", "path", "rule", "verdict")]
+    parsed = df.select(*others, host.alias("host"), path.alias("path"))
     pairs = cut(parsed.select("host", "path").where("host <> ''").distinct(), "pairs")
     hosts = cut(_active_hosts(pairs.select("host").distinct(), rules), "hosts")
     urls = pairs.join(hosts, "host").select("host", "path", F.explode("chain").alias("node"))
