@@ -81,24 +81,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 class WordCache:
-    """word -> make(word), keeping the words of the last two generations."""
+    """word -> make(word), keeping the words of the last two generations. prepare: told the words of a text that are
+    not in the last generation, before they are made one by one; it may put some of them there."""
 
-    def __init__(self, make: Callable[[str], object], size: int = CACHED_WORDS):
-        self.make, self.size, self.new, self.old = make, size, {}, {}
+    def __init__(self, make: Callable[[str], object], size: int = CACHED_WORDS, prepare: Callable[[set], None] | None = None):
+        self.make, self.size, self.prepare, self.new, self.old = make, size, prepare, {}, {}
+
+    def one(self, word: str) -> object:
+        found = self.new.get(word)
+        if found is None:
+            found = self.old.get(word)
+            self.new[word] = found = self.make(word) if found is None else found
+        return found
 
     def all(self, words: list[str]) -> list:
-        new, old = self.new, self.old
+        new = self.new
         out = list(map(new.get, words))
         if None in out:
-            make = self.make
-            for k, v in enumerate(out):
-                if v is None:
-                    w = words[k]
-                    v = new.get(w)
-                    if v is None:
-                        v = old.get(w)
-                        new[w] = v = make(w) if v is None else v
-                    out[k] = v
+            missing = [k for k, v in enumerate(out) if v is None]
+            if self.prepare:
+                self.prepare({words[k] for k in missing})
+            one = self.one
+            for k in missing:
+                out[k] = one(words[k])
             if len(new) > self.size:
                 self.old, self.new = new, {}
         return out

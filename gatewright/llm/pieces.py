@@ -25,6 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from gatewright.llm.common import WordCache, table
 
 MARK = "▁"
+#: Words that a worker keeps: two generations of this many.
+CACHED = 400_000
+#: Characters that often follow a word.
+TAILS = ".,;:!?*&#$%|"
 
 class PieceEncoder:
     """Encoder and decoder of one model file (BPE, identity normalization, byte fallback, dummy prefix)."""
@@ -42,12 +46,18 @@ class PieceEncoder:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.special = {i for i in range(size) if special[i]}
+        self.plain = set(self.ids.values())
         if len(self.bytes) != 256 or any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("the model needs byte pieces and no piece with a space mark inside")
+        if "\n" in "".join(self.score):
+            raise ValueError("the model has a piece with a line end")
+        self.sizes = [len(p) for p in self.pieces]
+        self.characters = {p for p in self.ids if len(p) == 1}
+        self.spelt = [p.replace(MARK, " ") for p in self.pieces]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if self._merge(p) == [p]:  # a piece that merging never makes is never a token
-                self.automaton.add_word(p, (len(p), i))
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self._compatible: dict[int, bool] = {}
 
@@ -74,62 +84,73 @@ class PieceEncoder:
             known = self._compatible[key] = self._merge(a + b) == [a, b]
         return known
 
-    def _run(self, text: str, out: list[int]) -> None:
+    def _run(self, text: str) -> list[int]:
         """Ids of a text of which every character is a piece."""
         n = len(text)
-        last = [0] * (n + 1)
-        have = [False] * (n + 1)
-        compatible, checked = self._compatible, self.compatible
-        for end, (size, token) in self.automaton.iter(text):
+        last = [-1] * (n + 1)
+        compatible, checked, sizes = self._compatible, self.compatible, self.sizes
+        for end, token in self.automaton.iter(text):
             end += 1
-            start = end - size
-            if have[end]:
+            if last[end] >= 0:
                 continue
-            if start == 0:
-                last[end], have[end] = token, True
-            elif have[start]:
+            start = end - sizes[token]
+            if start:
                 before = last[start]
+                if before < 0:
+                    continue
                 ok = compatible.get(before * 1_000_003 + token)
-                if ok if ok is not None else checked(before, token):
-                    last[end], have[end] = token, True
+                if not (checked(before, token) if ok is None else ok):
+                    continue
+            last[end] = token
         ids, at = [], n
         while at:
-            ids.append(last[at])
-            at -= len(self.pieces[last[at]])
-        out.extend(reversed(ids))
+            token = last[at]
+            ids.append(token)
+            at -= sizes[token]
+        ids.reverse()
+        return ids
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a text of which space marks stand at the start alone."""
+        if self.characters.issuperset(word):
+            return self._run(word)
         out: list[int] = []
-        known, run = self.ids, []
+        known, run = self.characters, []
         for c in word:
             if c in known:
                 run.append(c)
                 continue
             if run:
-                self._run("".join(run), out)
+                out += self._run("".join(run))
                 run = []
             out.extend(self.bytes[b] for b in c.encode("utf-8", "replace"))
         if run:
-            self._run("".join(run), out)
+            out += self._run("".join(run))
         return out
 
     def words(self, text: str) -> list[str]:
-        """Words of a text, each with the space marks before it."""
+        """Parts of a text that are encoded apart: words, each with the space marks before it, and line ends, which
+        are no pieces."""
         if not text:
             return []
-        marked = text.replace(" ", MARK)
-        parts = marked.split(MARK)
-        if parts[0] and "" not in parts:
-            return [MARK + p for p in parts]
-        out, marks = [], 0
-        for p in [*parts]:
-            marks += 1
-            if p:
-                out.append(MARK * marks + p)
-                marks = 0
-        if marks:
-            out.append(MARK * marks)
+        out: list[str] = []
+        for k, line in enumerate((MARK + text.replace(" ", MARK)).split("\n")):
+            if k:
+                out.append("\n")
+            first, *parts = line.split(MARK)
+            if first:
+                out.append(first)
+            if "" not in parts:
+                out += [MARK + p for p in parts]
+                continue
+            marks = 0
+            for p in parts:
+                marks += 1
+                if p:
+                    out.append(MARK * marks + p)
+                    marks = 0
+            if marks:
+                out.append(MARK * marks)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -138,6 +159,9 @@ class PieceEncoder:
     def decode(self, ids: list[int]) -> str:
         """Text of ids: marks become spaces, the first of them goes, byte pieces are read as UTF-8, what is no UTF-8
         becomes U+FFFD byte by byte."""
+        if self.plain.issuperset(ids):
+            text = "".join(map(self.spelt.__getitem__, ids))
+            return text[1:] if text[:1] == " " else text
         out: list[str] = []
         run = bytearray()
         for k, i in enumerate(ids):
@@ -149,7 +173,7 @@ class PieceEncoder:
                 out.append(_utf8(run))
                 run = bytearray()
             if i not in self.special:
-                p = self.pieces[i].replace(MARK, " ")
+                p = self.spelt[i]
                 out.append(p[1:] if not out and not k and p[:1] == " " else p)
         if run:
             out.append(_utf8(run))
@@ -168,6 +192,33 @@ def encoder(model_file: str) -> PieceEncoder:
     return PieceEncoder(model_file)
 
 
+@lru_cache(maxsize=2)
+def cached(model_file: str, with_ids: bool) -> tuple[PieceEncoder, WordCache]:
+    """A worker process's encoder and cache, shared by its tasks. word -> (count, spelt ids, decoded text, first id,
+    last id, ids).
+
+    Two texts' encodings side by side are the encoding of both if the tokens at the seam are compatible (or one of
+    them is a byte), so a word with punctuation after it is put together from two cached words where that holds.
+    """
+    enc = encoder(model_file)
+    number = [str(i) for i in range(len(enc.pieces))]
+
+    def entry(ids: list[int], space: str) -> tuple:
+        return len(ids), ",".join([number[i] for i in ids]).encode(), space + enc.decode(ids), ids[0], ids[-1], ids if with_ids else None
+
+    def make(word: str) -> tuple:
+        stem = word.rstrip(TAILS)
+        if stem and stem is not word and len(stem) < len(word):
+            a, b = cache.one(stem), cache.one(word[len(stem) :])
+            if a[4] in enc.byte_of or b[3] in enc.byte_of or enc.compatible(a[4], b[3]):
+                return a[0] + b[0], a[1] + b"," + b[1], a[2] + b[2], a[3], b[4], a[5] + b[5] if with_ids else None
+        # a word's own first space is not the text's
+        return entry(enc.encode_word(word), " " * (word[0] == MARK))
+
+    cache = WordCache(make, CACHED)
+    return enc, cache
+
+
 def encode_columns(df: DataFrame, key: str, text: str, model_file: str, digests: bool = False) -> DataFrame:
     """key with ids and decoded text of each row, or with their digests alone."""
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
@@ -175,13 +226,7 @@ def encode_columns(df: DataFrame, key: str, text: str, model_file: str, digests:
     schema = f"`{key}` {dict(slim.dtypes)[key]}, {fields}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model_file)
-
-        def make(word: str) -> tuple:
-            ids = enc.encode_word(word)
-            return len(ids), ",".join(map(str, ids)).encode(), enc.decode([*ids]) if word[0] != MARK else " " + enc.decode(ids), ids
-
-        cache = WordCache(make)
+        enc, cache = cached(model_file, not digests)
         for batch in batches:
             keys, rows = batch.column(0), []
             for value in batch.column(1):
@@ -190,7 +235,7 @@ def encode_columns(df: DataFrame, key: str, text: str, model_file: str, digests:
                 if digests:
                     rows.append((sum(f[0] for f in found), hashlib.sha256(b",".join([f[1] for f in found])).hexdigest(), hashlib.sha256(spelt.encode()).hexdigest()))
                 else:
-                    rows.append(([i for f in found for i in f[3]], spelt))
+                    rows.append(([i for f in found for i in f[5]], spelt))
             kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
