@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gatewright.plans import corpus, decide, learn, measure
+from gatewright.plans import corpus, decide, learn, measure, more
 
-MODULES = (corpus, decide, learn, measure)
+MODULES = (corpus, decide, learn, measure, more)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
