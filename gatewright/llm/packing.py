@@ -17,6 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,32 +34,83 @@ BLOCK, ISLANDS, POPULATION, CHILDREN, EPOCHS = 4096, 3, 4, 24, 2
 #: A bin that lacks at most this many tokens is kept as it is.
 SLACK = 4
 
-#: White space around a space, where the tokenizer's words don't end at the space.
-_ODD = re.compile(r"\s \s|\s \Z")
+#: White space around a space or line end, where the tokenizer's words don't end there.
+_ODD = re.compile(r"\s[ \n]\s|\s[ \n]\Z|\n[^\S \n]")
+#: Characters that often follow a word; after a letter or digit they are a word of their own for the tokenizer.
+TAILS = ".,;:!?*&#$%|"
+#: Words that a worker keeps: two generations of this many.
+CACHED = 600_000
+#: Characters that Python or the tokenizer takes for white space, but for the blank and the line end.
+_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_PLAIN = re.compile(r" ?\S+")
 
 
 class BytePairIds:
-    """Ids of texts as little-endian unsigned 32-bit numbers. The tokenizer's words end before a single space, so
-    these are encoded apart and kept in a cache; texts with odd white space are encoded whole."""
+    """Ids of texts as little-endian unsigned 32-bit numbers. The tokenizer's words end before a single blank or line
+    end and after the letters before punctuation, so such parts are encoded apart and kept in a cache; texts with odd
+    white space are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = WordCache(self.whole)
+        self.cache = WordCache(self._make, CACHED, self._learn)
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _make(self, word: str) -> bytes:
+        stem = word.rstrip(TAILS)
+        if len(stem) < len(word) and stem and stem[-1].isalnum():
+            return self.cache.one(stem) + self.cache.one(word[len(stem) :])
+        return self.whole(word)
+
+    def _learn(self, lack: set[str]) -> None:
+        """Encodes words that the cache lacks in one call, as lines of one text: the tokenizer's words end at a single
+        line end, and no other token is the line end's."""
+        new, old = self.cache.new, self.cache.old
+        stems = {s if (s := w.rstrip(TAILS)) and s[-1].isalnum() else w for w in lack if w not in old}
+        wanted = [s for s in stems if s not in new and s not in old and _PLAIN.fullmatch(s)]
+        if not wanted:
+            return
+        ids = np.array(self.tokenizer.encode("\n".join(wanted), add_special_tokens=False).ids, "<u4")
+        ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+        data, at = ids.tobytes(), 0
+        for s, end in zip(wanted, ends, strict=True):
+            new[s] = data[4 * at : 4 * end]
+            at = end + 1
+
+    def _odd(self, text: str) -> bool:
+        """Whether words don't end at every blank and line end. Where neither stands beside another and no other white
+        space occurs, they do."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in _OTHER_SPACES):
+            return bool(_ODD.search(text))
+        return False
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if self._odd(text) or any(t in text for t in self.special):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        # without its space, so that a word at the start of a text and elsewhere are different keys
-        return b"".join(self.cache.all([first, *[" " + w for w in rest]]))
+        words: list[str] = []
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                words.append("\n")
+            first, *rest = line.split(" ")
+            # without its blank, so that a word at the start of a line and elsewhere are different keys
+            if first:
+                words.append(first)
+            words += [" " + w for w in rest]
+        return b"".join(self.cache.all(words))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> BytePairIds:
+    """A worker process's encoder, shared by its tasks."""
+    return BytePairIds(path)
 
 
 def tokenize(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -68,11 +120,10 @@ def tokenize(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPA
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BytePairIds(path)
         for batch in batches:
             rows, at = [], []
             for k, value in enumerate(batch.column(1)):
-                ids = memoryview(encoder.ids(value.as_py() or "") + end)
+                ids = memoryview(encoder(path).ids(value.as_py() or "") + end)
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -95,9 +146,9 @@ class Packing:
         self.room: dict[int, list[int]] = {}
         self.mask = 0  # bit r: an open bin lacks r
 
-    def add_bin(self, items: list[int]) -> None:
+    def add_bin(self, items: list[int], fill: int | None = None) -> None:
         self.bins.append(items)
-        self.fill.append(sum(map(self.lengths.__getitem__, items)))
+        self.fill.append(sum(map(self.lengths.__getitem__, items)) if fill is None else fill)
         self._open(len(self.bins) - 1)
 
     def _open(self, k: int) -> None:
@@ -123,8 +174,9 @@ class Packing:
             self.fill[k] += n
             self._open(k)
 
+    @cached_property
     def score(self) -> tuple[int, float]:
-        """Fewer bins first, then more uneven fill."""
+        """Fewer bins first, then more uneven fill. Asked for when the packing is done."""
         return -len(self.bins), float(np.square(np.asarray(self.fill, float) / self.capacity).sum())
 
     def labels(self) -> np.ndarray:
@@ -159,18 +211,25 @@ def crossover(giver: Packing, taker: Packing, rng: np.random.Generator) -> Packi
     fill = np.asarray(giver.fill)
     full = np.flatnonzero(fill >= capacity - rng.integers(0, 8))
     chosen = full if len(full) < 4 else rng.choice(full, max(2, len(full) // int(rng.integers(2, 6))), replace=False)
-    child, taken = Packing(lengths, capacity), np.zeros(len(lengths), bool)
+    child, taken = Packing(lengths, capacity), bytearray(len(lengths))
     for k in chosen.tolist():
-        child.add_bin([*giver.bins[k]])
-        taken[giver.bins[k]] = True
+        items = giver.bins[k]
+        child.add_bin(items[:], giver.fill[k])
+        for i in items:
+            taken[i] = 1
     loose: list[int] = []
     limit = capacity * (1 - 0.25 * rng.random())
-    dropped = rng.random(len(taker.bins)) < 0.3
-    for k, items in enumerate(taker.bins):
-        if any(taken[i] for i in items) or (dropped[k] and taker.fill[k] < limit):
+    dropped = (rng.random(len(taker.bins)) < 0.3).tolist()
+    for items, filled, drop in zip(taker.bins, taker.fill, dropped, strict=True):
+        if drop and filled < limit:
             loose += [i for i in items if not taken[i]]
+            continue
+        for i in items:
+            if taken[i]:
+                loose += [i for i in items if not taken[i]]
+                break
         else:
-            child.add_bin([*items])
+            child.add_bin(items[:], filled)
     child.best_fit(loose)
     return child
 
@@ -184,15 +243,15 @@ def evolve(lengths: list[int], capacity: int, seed: int, start: list[np.ndarray]
         pool.append(first_packing(lengths, capacity, rng, 0.0 if not pool else 0.15 * len(pool)))
         if len(pool[-1].bins) <= least:
             break
-    pool.sort(key=Packing.score, reverse=True)
+    pool.sort(key=lambda p: p.score, reverse=True)
     for _ in range(children):
         if len(pool[0].bins) <= least or len(pool) < 2:
             break
         a, b = rng.choice(len(pool), 2, replace=False).tolist()
         child = crossover(pool[min(a, b)], pool[max(a, b)], rng)
-        if child.score() > pool[-1].score():
+        if child.score > pool[-1].score:
             pool[-1] = child
-            pool.sort(key=Packing.score, reverse=True)
+            pool.sort(key=lambda p: p.score, reverse=True)
     return pool[0]
 
 
@@ -211,7 +270,7 @@ def _epoch(capacity: int, round_no: int, epoch: int):
             start = [np.asarray(x, np.int32) for x in rows["labels"]]
         seed = ((round_no * 31 + epoch) * 1_000_003 + block) * 64 + island
         best = evolve(lengths, capacity, seed, start)
-        bins, fitness = best.score()
+        bins, fitness = best.score
         return pd.DataFrame({"block": [block], "island": [island], "items": [np.asarray(items)], "lengths": [np.asarray(lengths, np.int32)], "labels": [best.labels()], "bins": [-bins], "fitness": [fitness]})
 
     return run
