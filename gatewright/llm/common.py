@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words everywhere in this subpackage: space and \t \n \v \f \r.
@@ -53,6 +53,12 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))
 
 
+def _starred(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges (u, v), v < u: u's smaller neighbours and u itself joined to the least of them."""
+    rows = edges.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return rows.where("u <> v").distinct()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges (bigint columns a, b) as rows (id, component), component being the
     smallest id reachable; only ids that have an edge occur.
@@ -62,20 +68,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     path. Every round ends in a table in the shared folder. Loops and repeated edges change nothing; no edges: no rows.
     """
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
-    e = cut(e, "edges")
+    # a first small-star step joins what shares a node
+    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    e = _starred(e, low)
     before = None
     while True:
+        seen = Observation()
+        e = cut(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "star")
+        now = (seen.get["n"], seen.get["h"])
+        if now == before:
+            break
+        before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # every u has only smaller neighbours now
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = cut(small.where("u <> v").distinct(), "star")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        e = _starred(large, large.groupBy("u").agg(F.min("v").alias("m")))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 

@@ -6,9 +6,9 @@ whole sequence; without words it is empty, and empty units are linked with nothi
 
 Units with equal sets form a class, and everything after that works on classes: candidates come from bands of MinHash
 signatures, a candidate is verified on the full sets, and links merge classes into components. A bucket of equal
-bands is never expanded into all its pairs: its members are compared with one leader (a join on the bucket's minimum),
-links are merged, and only pairs of classes that are still in different components are compared in the rounds after
-that, the last of which compares them all. So every link between two components is found, whatever the group's size.
+bands is not expanded into all its pairs: its members are compared with three leaders of it (joins on aggregates),
+links are merged, and only pairs of classes that are still in different components are compared after that, all of
+them. So no link between two components is lost, whatever the group's size.
 """
 
 from __future__ import annotations
@@ -261,46 +261,33 @@ def exact(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return _both(pairs, sets, "members").mapInArrow(run, "a long, b long")
 
 
-def linked_classes(found: DataFrame, plan: Plan, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+def linked_classes(found: DataFrame, plan: Plan, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component) of the classes that have a verified link. verify: the true ones of pairs (a, b).
 
-    Each of the first rounds compares a bucket's classes with one leader (its least, its greatest, its least by a
-    hash); the last one compares all pairs of a bucket that are still in different components. Pairs already refuted
-    are not compared again.
+    First each class of a bucket is compared with three leaders of it (its least, its greatest, its least by a hash),
+    and links are merged. Then all pairs of a bucket that are still in different components are compared, but for
+    those refuted already.
     """
     spread = found.select("cls", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = cut(spread.join(shared, "bucket"), "buckets")
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    groups = None
-    for turn in range(rounds + 1):
-        rows = members.withColumn("g", F.col("cls")) if groups is None else members.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", F.col("cls"))).drop("component")
-        if groups is not None:
-            mixed = rows.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket")
-            members = cut(rows.drop("g").join(mixed, "bucket"), "buckets")
-            rows = members.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", F.col("cls"))).drop("component")
-            if members.isEmpty():
-                break
-        one = F.struct("cls", "n", "g")
-        if turn < rounds:
-            pick = (F.min(one), F.max(one), F.min_by(one, F.xxhash64("cls")))[turn % 3]
-            leaders = rows.groupBy("bucket").agg(pick.alias("x"))
-            near = rows.join(leaders, "bucket")
-        else:
-            near = rows.join(rows.select("bucket", one.alias("x")), "bucket").where("cls < x.cls")
-        # similar sets are of similar sizes
-        near = near.where((F.col("g") != F.col("x.g")) & (plan.of * F.least("n", "x.n") >= plan.over * F.greatest("n", "x.n")))
-        pairs = near.select(F.least("cls", "x.cls").alias("a"), F.greatest("cls", "x.cls").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        true = cut(verify(pairs), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = true if links is None else links.unionByName(true)
-        groups = cut(components(links), "components")
-    if groups is None:
-        return found.sparkSession.createDataFrame([], "id long, component long")
-    return groups
+    one = F.struct("cls", "n")
+    leaders = spread.groupBy("bucket").agg(F.count("*").alias("c"), F.array_distinct(F.array(F.min(one), F.max(one), F.min_by(one, F.xxhash64("cls")))).alias("x")).where("c > 1").drop("c")
+    members = cut(spread.join(leaders, "bucket"), "buckets")
+    # similar sets are of similar sizes
+    alike = plan.of * F.least("n", "x.n") >= plan.over * F.greatest("n", "x.n")
+
+    def pairs_of(near: DataFrame) -> DataFrame:
+        return near.where((F.col("cls") != F.col("x.cls")) & alike).select(F.least("cls", "x.cls").alias("a"), F.greatest("cls", "x.cls").alias("b")).distinct()
+
+    stars = cut(pairs_of(members.select("cls", "n", F.explode("x").alias("x"))), "pairs")
+    links = cut(verify(stars), "links")
+    groups = cut(components(links), "components")
+
+    rows = members.select("bucket", "cls", "n").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", F.col("cls"))).drop("component")
+    mixed = rows.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bucket")
+    rest = cut(rows.join(mixed, "bucket"), "mixed")
+    near = rest.join(rest.select("bucket", F.struct("cls", "n", "g").alias("x")), "bucket").where("cls < x.cls and g <> x.g")
+    more = cut(pairs_of(near).join(stars, ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
+        return groups
+    late = cut(verify(more), "links")
+    return groups if late.isEmpty() else cut(components(links.unionByName(late)), "components")
