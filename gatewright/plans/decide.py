@@ -25,15 +25,15 @@ def _outcome_sql(source: str) -> str:
   (SELECT gold, avg((CASE WHEN escalate THEN llm_pred ELSE free_pred END = gold)::INT::DOUBLE) AS r, sum((CASE WHEN escalate THEN llm_pred ELSE free_pred END = gold)::INT)::DOUBLE AS s, count(*) AS n, sum(escalate::INT) AS e FROM {source} GROUP BY gold)"""
 
 
-@plans.add("q253_cgd_outcome", f"WITH {GATE_SQL} {_outcome_sql('e')}")
-def cgd_outcome(spark, d):
+@plans.add("q253_class_gate", f"WITH {GATE_SQL} {_outcome_sql('e')}")
+def class_gate_outcome(spark, d):
     """The flagship: class-gated deferral, fitted on the other folds."""
     e = g.class_gate(pair_log(spark, d), [], "fold", "free_pred", "free_ok", "llm_ok")
     return g.outcome(e, [], "gold", "free_pred", "llm_pred", "escalate")
 
 
-@plans.add("q253_cgd_gates", f"WITH {GATE_SQL} SELECT fold, free_pred, bool_and(escalate) AS escalate, count(*) AS n FROM e GROUP BY 1, 2")
-def cgd_gates(spark, d):
+@plans.add("q253_class_gates", f"WITH {GATE_SQL} SELECT fold, free_pred, bool_and(escalate) AS escalate, count(*) AS n FROM e GROUP BY 1, 2")
+def class_gates(spark, d):
     e = g.class_gate(pair_log(spark, d), [], "fold", "free_pred", "free_ok", "llm_ok")
     return e.groupBy("fold", "free_pred").agg(F.bool_and("escalate").alias("escalate"), F.count("*").alias("n"))
 

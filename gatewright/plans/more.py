@@ -140,12 +140,12 @@ def missing_slots(spark, d):
     return need.join(have, "conv_id", "left").select("conv_id", F.size(F.array_except("a", F.coalesce("b", F.array().cast("array<int>")))).alias("missing"))
 
 
-@plans.add("q121_routing_metrics", f"SELECT role, avg((act < 3)::INT::DOUBLE) AS reflex_rate, (SELECT avg(c::INT::DOUBLE) FROM (SELECT bool_and(act < 8) AS c FROM {T} GROUP BY conv_id)) AS containment FROM {T} GROUP BY role")
+@plans.add("q121_routing_metrics", f"SELECT role, avg((act < 3)::INT::DOUBLE) AS fast_rate, (SELECT avg(c::INT::DOUBLE) FROM (SELECT bool_and(act < 8) AS c FROM {T} GROUP BY conv_id)) AS containment FROM {T} GROUP BY role")
 def routing_metrics(spark, d):
     """Share of turns answered fast per role; containment: conversations in which nothing escalates (act 8)."""
     x = turns(spark, d)
     contained = x.groupBy("conv_id").agg(F.bool_and(F.col("act") < 8).alias("c")).agg(F.avg(F.col("c").cast("double")).alias("containment"))
-    return x.groupBy("role").agg(F.avg((F.col("act") < 3).cast("double")).alias("reflex_rate")).crossJoin(contained)  # one row
+    return x.groupBy("role").agg(F.avg((F.col("act") < 3).cast("double")).alias("fast_rate")).crossJoin(contained)  # one row
 
 
 @plans.add("q122_component_errors", f"SELECT role, count(CASE WHEN act % 3 > 0 THEN 1 END) AS n, avg(CASE WHEN act % 3 > 0 THEN (act % 3 = 2)::INT::DOUBLE END) AS error FROM {T} GROUP BY role")
