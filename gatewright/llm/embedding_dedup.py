@@ -213,16 +213,15 @@ def dual_links(x: np.ndarray, s: np.ndarray, wx: np.ndarray, y: np.ndarray, t: n
                     points(int(i[k]), int(j[k]))
                 if (flat := both & ~self_pair).any():
                     leaves(i[flat], j[flat])
-                for k in np.flatnonzero(~near & ~both).tolist():
-                    m, n = int(i[k]), int(j[k])
-                    down_m = np.array([m]) if leaf_i[k] else np.arange(int(s[m, 4]), int(s[m, 5]))
-                    down_n = np.array([n]) if leaf_j[k] else np.arange(int(t[n, 4]), int(t[n, 5]))
-                    if not self_pair[k] and not leaf_i[k] and not leaf_j[k]:  # the wider one goes down
-                        if s[m, 1] >= t[n, 1]:
-                            down_n = np.array([n])
-                        else:
-                            down_m = np.array([m])
-                    push(down_m, down_n, bool(self_pair[k]))
+                rest = ~near & ~both
+                down = lambda nodes, k: np.arange(int(nodes[k, 4]), int(nodes[k, 5]))
+                for k in np.flatnonzero(rest & ~leaf_i & ~leaf_j).tolist():
+                    push(down(s, i[k]), down(t, j[k]), bool(self_pair[k]))
+                # the leaves that meet one wider node go down with it together
+                for k in np.unique(j[rest & leaf_i]).tolist():
+                    push(i[rest & leaf_i & (j == k)], down(t, k), False)
+                for k in np.unique(i[rest & leaf_j]).tolist():
+                    push(down(s, k), j[rest & leaf_j & (i == k)], False)
     if same:
         nx = nx + ny
         ny = nx
