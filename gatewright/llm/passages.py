@@ -6,12 +6,14 @@ join them into components. A component's first paragraph (smallest key, then pla
 
 A passage inside longer paragraphs is caught by its windows: of all windows of 24 words those with the smallest hash
 among 24 neighbours are kept, so that any 47 words that two places share have a kept window in common (a paragraph of
-its own, equal word for word, within the other). Windows that occur in several documents stay in the document with
-the smallest key and go elsewhere; overlapping spans are one.
+its own, equal word for word, within the other). Kept windows that several documents hold are seeds: around each of
+them, in every document that has it, all windows less than 24 words away are compared, so the whole of such a run is
+found, and no word of it stays. Windows that occur in several documents stay in the document with the smallest key and
+go elsewhere; overlapping spans are one, and go if a seed in them goes.
 
 Words are as in the shingles module. Null and empty texts have no paragraphs. Paragraphs that repeat within a document
-are members like any others, windows are not. Rows with equal keys count as one document for windows. Extra columns
-stay. White space between what is left of a text is left alone, but for lines that go as a whole with their line end.
+are members like any others, windows are not. Rows with equal keys and texts count as one document for windows. Extra
+columns stay. White space between what is left of a text is left alone, but for lines that go as a whole with their line end.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ LEAST_WORDS = 20
 WINDOW = 24
 MISS = 1e-5
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def lines(text: str) -> list[sh.Unit]:
@@ -54,10 +57,10 @@ def _sliding(x: np.ndarray, size: int, fn) -> np.ndarray:
     return fn(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def window_places(hashes: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the kept windows of a text's word hashes, and the windows' hashes."""
+def window_hashes(hashes: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """Hashes of all windows of a text's word hashes."""
     if len(hashes) < size:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         h = hashes
         done = 1
@@ -66,6 +69,14 @@ def window_places(hashes: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, n
         rest = size - done
         if rest:
             h = sh.mix(h[: len(h) - rest] * sh._C1 + h[rest:])
+    return h
+
+
+def window_places(hashes: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the kept windows of a text's word hashes, and the windows' hashes."""
+    h = window_hashes(hashes, size)
+    if not len(h):
+        return np.empty(0, np.int64), h
     if len(h) <= size:
         return np.array([int(np.argmin(h))]), h[[int(np.argmin(h))]]
     least = _sliding(h, size, np.minimum)
@@ -75,24 +86,71 @@ def window_places(hashes: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, n
     return kept, h[kept]
 
 
+def near_places(seeds: np.ndarray, n: int, size: int = WINDOW) -> np.ndarray:
+    """Places of a text's n windows that are less than `size` words from a seed."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.maximum(seeds - (size - 1), 0), 1)
+    np.add.at(step, np.minimum(seeds + size, n), -1)
+    return np.flatnonzero(np.cumsum(step[:n]))
+
+
 def windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """key, start and end (in words) and hash of the kept windows of whole texts; equal windows of a text once."""
-    slim = df.select(key, text)
+    """key, digest of the text, place (in words) and hash of the kept windows of whole texts; equal windows of a text
+    once."""
+    slim = df.select(key, F.xxhash64(text).alias("digest"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(sh.word_hash)
         for batch in batches:
             at, places, found = [], [], []
-            for k, value in enumerate(batch.column(1)):
+            for k, value in enumerate(batch.column(2)):
                 p, h = window_places(np.array(cache.all(sh.words_of(value.as_py() or "")), np.uint64), size)
                 h, first = np.unique(h, return_index=True)
                 at.append(np.full(len(h), k))
                 places.append(p[first])
                 found.append(h.view(np.int64))
             if at:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at), pa.int64())), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(found), pa.int64())], [key, "at", "window"])
+                rows = pa.array(np.concatenate(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(found), pa.int64())], [key, "digest", "at", "window"])
+
+    return slim.mapInArrow(run, f"`{key}` {dict(slim.dtypes)[key]}, digest long, at int, window long")
 
-    return slim.mapInArrow(run, f"`{key}` {dict(slim.dtypes)[key]}, at int, window long")
+
+def windows_near(df: DataFrame, key: str, text: str, seeds: DataFrame, size: int = WINDOW) -> DataFrame:
+    """key, digest, start and end (code points) and hash of all windows near the seeds (key, digest, at, late), and
+    whether they are late seeds."""
+    mark = F.shiftleft("at", 1).bitwiseOR(F.col("late").cast("int"))
+    asked = seeds.groupBy(F.col(key).alias("__key"), "digest").agg(F.collect_list(mark).alias("__at"))  # a document's own seeds
+    slim = df.select(key, F.xxhash64(text).alias("__digest"), text)
+    rows = slim.join(asked, (F.col(key) == F.col("__key")) & (F.col("__digest") == F.col("digest"))).select(key, "digest", text, "__at")
+
+    def flush(keys: pa.Array, digests: pa.Array, at: list, starts: list, ends: list, found: list, late: list) -> pa.RecordBatch:
+        take = pa.array(np.concatenate(at), pa.int64())
+        return pa.RecordBatch.from_arrays([keys.take(take), digests.take(take), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(late))], [key, "digest", "start", "end", "window", "late"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordCache(sh.word_hash)
+        for batch in batches:
+            out, held = ([], [], [], [], []), 0
+            for k, (value, seen) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                t = value.as_py()
+                h = window_hashes(np.array(cache.all(sh.words_of(t)), np.uint64), size)
+                seeds = seen.values.to_numpy().astype(np.int64)
+                late = np.zeros(len(h), bool)
+                late[seeds[seeds & 1 > 0] >> 1] = True
+                places = near_places(seeds >> 1, len(h), size)
+                places = places[np.unique(h[places], return_index=True)[1]]
+                spans = np.array([m.span() for m in _WORD.finditer(t)], np.int64)
+                for column, x in zip(out, (np.full(len(places), k), spans[places, 0], spans[places + (size - 1), 1], h[places].view(np.int64), late[places]), strict=True):
+                    column.append(x)
+                held += len(places)
+                if held > 300_000:
+                    yield flush(batch.column(0), batch.column(1), *out)
+                    out, held = ([], [], [], [], []), 0
+            if held:
+                yield flush(batch.column(0), batch.column(1), *out)
+
+    return rows.mapInArrow(run, f"`{key}` {dict(slim.dtypes)[key]}, digest long, start int, end int, window long, late boolean")
 
 
 def repeated_paragraphs(df: DataFrame, key: str, text: str, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -120,27 +178,41 @@ def repeated_paragraphs(df: DataFrame, key: str, text: str, least_words: int = L
 
 
 def repeated_windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """key, spans (pairs of first and last word, as array of structs) of windows that a document with a smaller key
+    """key, digest and spans (array of start and end in code points) of windows that a document with a smaller key
     holds too; rows of the documents that have any."""
-    found = cut(windows(df, key, text, size).where(F.col(key).isNotNull()), "windows")
+    kept = cut(windows(df, key, text, size).where(F.col(key).isNotNull()), "windows")
+    shared = kept.groupBy("window").agg(F.min(key).alias("owner"), F.max(key).alias("other")).where("owner <> other")
+    seeds = kept.join(cut(shared.select("window", "owner"), "shared"), "window").withColumn("late", F.col(key) != F.col("owner"))
+    found = cut(windows_near(df, key, text, seeds, size), "near")
     owners = found.groupBy("window").agg(F.min(key).alias("owner"), F.max(key).alias("other")).where("owner <> other")
     again = found.join(cut(owners.select("window", "owner"), "owners"), "window").where(F.col(key) != F.col("owner"))
-    return again.groupBy(key).agg(F.sort_array(F.collect_list("at")).alias("at"))  # a document's own windows
+    place = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("end").cast("long"), 1)).bitwiseOR(F.col("late").cast("long"))
+    rows = again.groupBy(key, "digest").agg(F.collect_list(place).alias("places"))  # a document's own windows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for value in batch.column(2):
+                x = np.sort(value.values.to_numpy())
+                start, end, late = x >> 32, (x & 0xFFFFFFFF) >> 1, x & 1
+                reach = np.maximum.accumulate(end)
+                first = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+                go = np.maximum.reduceat(late, first) > 0
+                spans.append([{"start": a, "end": b} for a, b in zip(start[first][go].tolist(), np.maximum.reduceat(end, first)[go].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS)], [key, "digest", "spans"])
+
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, digest long, spans array<struct<start:int,end:int>>")
 
 
 def removals(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Repeated paragraphs (kept ones too), and per document the repeated windows' places in words."""
+    """Repeated paragraphs (kept ones too), and per document the spans of repeated windows."""
     return cut(repeated_paragraphs(df, key, text), "repeated"), cut(repeated_windows(df, key, text), "again")
 
 
-def _spans(text: str, paragraphs: list[tuple[int, int]], places: list[int], size: int = WINDOW) -> list[tuple[int, int]]:
+def _spans(text: str, paragraphs: list[tuple[int, int]], windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Merged spans of code points to remove. Paragraphs take their line end with them."""
-    spans = [(a, min(b + 1, len(text))) for a, b in paragraphs]
-    if places:
-        found = [m.span() for m in _WORD.finditer(text)]
-        spans += [(found[p][0], found[p + size - 1][1]) for p in places if p + size <= len(found)]
     out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
+    for a, b in sorted([*[(a, min(b + 1, len(text))) for a, b in paragraphs], *windows]):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -152,17 +224,19 @@ def clean(df: DataFrame, key: str, text: str, out: str = "removed") -> DataFrame
     """df with `text` cleaned and `out` (in place of a column of this name): the removed spans (start, end in code points
     of the old text).
 
-    Rows that lose nothing keep their text and get an empty array; rows with equal keys lose the same paragraphs and
-    windows.
+    Rows that lose nothing keep their text and get an empty array; rows with equal keys lose the same paragraphs, and
+    with equal texts the same windows.
     """
     df = df.drop(*[c for c in (out,) if c not in (key, text)])
     paragraphs, places = removals(df, key, text)
     lost = paragraphs.where("not kept").groupBy(F.col(key).alias("__k")).agg(F.collect_set(F.struct("start", "end")).alias("__p"))
-    plan = lost.join(places.select(F.col(key).alias("__k"), F.col("at").alias("__w")), "__k", "full_outer")
-    rows = df.join(cut(plan, "plan"), F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
+    found = places.groupBy(F.col(key).alias("__k")).agg(F.collect_list(F.struct("digest", "spans")).alias("__w"))  # one for each of its texts
+    rows = df.join(cut(lost.join(found, "__k", "full_outer"), "plan"), F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
+    own = F.filter("__w", lambda x: x["digest"] == F.xxhash64(text))
+    rows = rows.withColumn("__w", F.flatten(F.transform(own, lambda x: x["spans"])))
     names = [c for c in rows.columns if c not in ("__p", "__w")]
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in names) + f", `{out}` array<struct<start:int,end:int>>"
-    at, kind = names.index(text), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +245,7 @@ def clean(df: DataFrame, key: str, text: str, out: str = "removed") -> DataFrame
             texts, spans = [], []
             for k, value in enumerate(columns[at]):
                 t = value.as_py()
-                found = _spans(t, [(x["start"], x["end"]) for x in p[k].as_py() or []], w[k].as_py() or []) if t else []
+                found = _spans(t, *([(x["start"], x["end"]) for x in c[k].as_py() or []] for c in (p, w))) if t else []
                 spans.append([{"start": a, "end": b} for a, b in found])
                 if found:
                     parts, last = [], 0
@@ -181,7 +255,7 @@ def clean(df: DataFrame, key: str, text: str, out: str = "removed") -> DataFrame
                     t = "".join([*parts, t[last:]])
                 texts.append(t)
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], [*names, out])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, _SPANS)], [*names, out])
 
     return rows.select(*names, "__p", "__w").mapInArrow(run, schema)
 
@@ -192,19 +266,7 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     paragraphs, places = removals(docs, "doc_id", "text")
     own = paragraphs.select("doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("component_id").cast("long").alias("component_id"), "kept")
-    hit = docs.join(places, "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, starts, ends = [], [], []
-            for key, value, at in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                for a, b in _spans(value.as_py() or "", [], at.as_py()):
-                    ids.append(key.as_py())
-                    starts.append(a)
-                    ends.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start", "end"])
-
-    passages = hit.mapInArrow(run, "doc_id long, start int, end int")
+    passages = places.select("doc_id", F.inline("spans"))
     return own.unionByName(passages.select("doc_id", F.lit("passage").alias("kind"), "start", "end", F.lit(-1).cast("long").alias("component_id"), F.lit(False).alias("kept")))
 
 

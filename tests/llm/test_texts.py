@@ -233,6 +233,20 @@ def test_passages_of_odd_rows(odd, empty):
     assert passages.clean(empty, "doc_id", "text").count() == 0
 
 
+def test_passages_go_whole(spark):
+    """A run of 47 words or more within other lines goes with its first and last word, and nothing else does."""
+    rows, runs = [], []
+    for i, n in enumerate([47, 51, 55, 60, 64, 80, 120, 200] * 3):
+        run = [f"r{i}x{j}" for j in range(n)]
+        for copy in range(3):
+            rows.append((3 * i + copy, " ".join([*[f"a{i}c{copy}x{j}" for j in range(7 * copy + 30)], *run, *[f"b{i}c{copy}x{j}" for j in range(31)]])))
+        runs.append(run)
+    got = {r["doc_id"]: r["text"].split() for r in passages.clean(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    for k, text in rows:
+        lost = runs[k // 3] if k % 3 else []
+        assert got[k] == [w for w in text.split() if w not in set(lost)]
+
+
 def test_windows_guarantee():
     """Any run of 2 * size - 1 words that two texts share has a kept window in common."""
     rng = np.random.default_rng(3)
