@@ -8,12 +8,13 @@ A passage inside longer paragraphs is caught by its windows: of all windows of 2
 among 24 neighbours are kept, so that any 47 words that two places share have a kept window in common (a paragraph of
 its own, equal word for word, within the other). Kept windows that several documents hold are seeds: around each of
 them, in every document that has it, all windows less than 24 words away are compared, so the whole of such a run is
-found, and no word of it stays. Windows that occur in several documents stay in the document with the smallest key and
-go elsewhere; overlapping spans are one, and go if a seed in them goes.
+found, and no word of it stays. The first place of a window (smallest key, then place) stays, all others go, in the same
+document too; a place that overlaps the first one in the same document loses what is beyond that. Overlapping spans
+are one, and go if a seed in them goes.
 
-Words are as in the shingles module. Null and empty texts have no paragraphs. Paragraphs that repeat within a document
-are members like any others, windows are not. Rows with equal keys and texts count as one document for windows. Extra
-columns stay. White space between what is left of a text is left alone, but for lines that go as a whole with their line end.
+Words are as in the shingles module. Null and empty texts have no paragraphs. Paragraphs and windows that repeat within a
+document are members like any others. Rows with equal keys and texts count as one document for windows. Extra columns
+stay. White space between what is left of a text is left alone, but for lines that go as a whole with their line end.
 """
 
 from __future__ import annotations
@@ -78,7 +79,8 @@ def window_places(hashes: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, n
     if not len(h):
         return np.empty(0, np.int64), h
     if len(h) <= size:
-        return np.array([int(np.argmin(h))]), h[[int(np.argmin(h))]]
+        kept = np.flatnonzero(h == h.min())
+        return kept, h[kept]
     least = _sliding(h, size, np.minimum)
     # h[i] is kept if it is the least of a window that holds it
     padded = np.concatenate([np.zeros(size - 1, np.uint64), least, np.zeros(size - 1, np.uint64)])
@@ -95,8 +97,7 @@ def near_places(seeds: np.ndarray, n: int, size: int = WINDOW) -> np.ndarray:
 
 
 def windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """key, digest of the text, place (in words) and hash of the kept windows of whole texts; equal windows of a text
-    once."""
+    """key, digest of the text, place (in words) and hash of the kept windows of whole texts."""
     slim = df.select(key, F.xxhash64(text).alias("digest"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +106,8 @@ def windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame
             at, places, found = [], [], []
             for k, value in enumerate(batch.column(2)):
                 p, h = window_places(np.array(cache.all(sh.words_of(value.as_py() or "")), np.uint64), size)
-                h, first = np.unique(h, return_index=True)
                 at.append(np.full(len(h), k))
-                places.append(p[first])
+                places.append(p)
                 found.append(h.view(np.int64))
             if at:
                 rows = pa.array(np.concatenate(at), pa.int64())
@@ -139,7 +139,6 @@ def windows_near(df: DataFrame, key: str, text: str, seeds: DataFrame, size: int
                 late = np.zeros(len(h), bool)
                 late[seeds[seeds & 1 > 0] >> 1] = True
                 places = near_places(seeds >> 1, len(h), size)
-                places = places[np.unique(h[places], return_index=True)[1]]
                 spans = np.array([m.span() for m in _WORD.finditer(t)], np.int64)
                 for column, x in zip(out, (np.full(len(places), k), spans[places, 0], spans[places + (size - 1), 1], h[places].view(np.int64), late[places]), strict=True):
                     column.append(x)
@@ -178,14 +177,20 @@ def repeated_paragraphs(df: DataFrame, key: str, text: str, least_words: int = L
 
 
 def repeated_windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """key, digest and spans (array of start and end in code points) of windows that a document with a smaller key
-    holds too; rows of the documents that have any."""
+    """key, digest and spans (array of start and end in code points) of windows that stand at an earlier place too;
+    rows of the documents that have any."""
     kept = cut(windows(df, key, text, size).where(F.col(key).isNotNull()), "windows")
-    shared = kept.groupBy("window").agg(F.min(key).alias("owner"), F.max(key).alias("other")).where("owner <> other")
-    seeds = kept.join(cut(shared.select("window", "owner"), "shared"), "window").withColumn("late", F.col(key) != F.col("owner"))
+    # few windows come more than once; only theirs are first places looked for
+    shared = cut(kept.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "shared")
+    held = cut(kept.join(shared, "window"), "held")
+    place = F.struct(F.col(key).alias("key"), "digest", "at")
+    seeds = held.join(cut(held.groupBy("window").agg(F.min(place).alias("first")), "first"), "window").withColumn("late", place != F.col("first")).drop("first")
     found = cut(windows_near(df, key, text, seeds, size), "near")
-    owners = found.groupBy("window").agg(F.min(key).alias("owner"), F.max(key).alias("other")).where("owner <> other")
-    again = found.join(cut(owners.select("window", "owner"), "owners"), "window").where(F.col(key) != F.col("owner"))
+    place = F.struct(F.col(key).alias("key"), "digest", "start", "end")
+    owners = found.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    again = found.join(cut(owners.select("window", "first"), "owners"), "window").where(place != F.col("first"))
+    own = (F.col(key) == F.col("first.key")) & (F.col("digest") == F.col("first.digest"))
+    again = again.withColumn("start", F.when(own, F.greatest("start", "first.end")).otherwise(F.col("start"))).where("start < end")
     place = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("end").cast("long"), 1)).bitwiseOR(F.col("late").cast("long"))
     rows = again.groupBy(key, "digest").agg(F.collect_list(place).alias("places"))  # a document's own windows
 

@@ -247,6 +247,19 @@ def test_passages_go_whole(spark):
         assert got[k] == [w for w in text.split() if w not in set(lost)]
 
 
+def test_passages_go_from_every_place(spark):
+    """All places but the first of a passage go, within the owning document and in others."""
+    run = [f"r{j}" for j in range(60)]
+    own = [[f"o{i}x{j}" for j in range(30)] for i in range(12)]
+    many = " ".join(" ".join([*run, *x]) for x in own)
+    rows = [(1, many), (2, " ".join([*own[0][:9], many])), (3, " ".join(f"s{j}" for j in range(9)) + " " + " ".join(["again", "and"] * 200)), (4, "alone " + " ".join(["same"] * 100))]
+    got = {r["doc_id"]: r["text"].split() for r in passages.clean(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got[1] == run + [w for x in own for w in x]
+    assert not set(got[2]) & set(run)
+    assert got[3] == [f"s{j}" for j in range(9)] + (["again", "and"] * 13)[: len(got[3]) - 9] and 24 <= len(got[3]) - 9 <= 26
+    assert got[4] == ["alone", *["same"] * 24]
+
+
 def test_windows_guarantee():
     """Any run of 2 * size - 1 words that two texts share has a kept window in common."""
     rng = np.random.default_rng(3)
