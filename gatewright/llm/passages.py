@@ -1,6 +1,6 @@
 """Substring deduplication of paragraphs.
 
-Paragraphs are lines of at least `least_words` words. Bands of MinHash signatures of their five-word shingles, tuned
+Paragraphs are lines of at least `least_words` words, which is a full shingle. Bands of MinHash signatures of their five-word shingles, tuned
 for high recall, bring paragraphs together; colliding ones are verified by the exact Jaccard coefficient, and links
 join them into components. A component's first paragraph (smallest key, then place) stays, all others go.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gatewright.llm import shingles as sh
 from gatewright.llm.common import WordCache, cut, table
 
-LEAST_WORDS = 20
+LEAST_WORDS = 5
 WINDOW = 24
 MISS = 1e-5
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -233,6 +233,17 @@ def test_passages_of_odd_rows(odd, empty):
     assert passages.clean(empty, "doc_id", "text").count() == 0
 
 
+def test_short_lines_are_paragraphs(spark):
+    """Lines of five words or more, and a wrapped paragraph of which one line is edited."""
+    wrapped = [" ".join(f"l{i}x{j}" for j in range(9)) for i in range(6)]
+    edited = [*wrapped[:3], "quite other words are in this line now", *wrapped[4:]]
+    line = " ".join(f"n{j}" for j in range(19))
+    rows = [(1, "\n".join(wrapped)), (2, "\n".join(edited)), *[(k, f"own{k} start\n{line}\nown{k} middle\nfive words are a line\nfour words are not\nown{k} end") for k in range(3, 9)]]
+    got = {r["doc_id"]: r["text"] for r in passages.clean(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got[1] == rows[0][1] and got[2].strip() == edited[3] and got[3] == rows[2][1]
+    assert all(got[k] == f"own{k} start\nown{k} middle\nfour words are not\nown{k} end" for k in range(4, 9))
+
+
 def test_passages_go_whole(spark):
     """A run of 47 words or more within other lines goes with its first and last word, and nothing else does."""
     rows, runs = [], []
