@@ -19,6 +19,15 @@ def test_runs(spark, name):
     assert df.columns and df.count() > 0
 
 
+def test_containment_is_of_the_whole_item(spark, tmp_path):
+    """A document that shares only an item's opening doesn't hold it."""
+    item = " ".join(f"word{i}" for i in range(30))
+    spark.createDataFrame([(1, item), (2, "short item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, f"before {item} after"), (2, item[:80] + " and another end"), (3, None), (4, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["q152_containment"](spark, str(tmp_path)).collect()
+    assert {r["item_id"]: r["holders"] for r in got} == {1: 1, 2: 0}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
