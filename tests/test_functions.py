@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gatewright.functions import stats
 from gatewright.functions import text as t
+from gatewright.ml import models
 from gatewright.operators import conformal, defer, folds, metrics
 
 
@@ -80,3 +81,18 @@ def test_nested_subsets(spark):
     rows = spark.range(200).withColumnRenamed("id", "g")
     small, large = ({r["g"] for r in folds.learning_subset(rows, "g", f, 3).collect()} for f in (0.2, 0.5))
     assert small < large
+
+
+def test_classifier_knows_parts_of_words(spark):
+    """No word comes twice but those of all rows; beginnings of words tell the classes apart."""
+    rows = [(i, i % 3, i % 2, f"some words {'prex' if i % 2 else 'sufy'}{chr(97 + i // 26)}{chr(97 + i % 26)}q") for i in range(60)]
+    got = models.text_classifier(spark.createDataFrame(rows, "id long, part int, y int, t string"), "part", "t", "y", "id", 3).collect()
+    assert len(got) == 60 and all(r["pred"] == r["gold"] for r in got)
+
+
+def test_isotonic_is_by_class(spark):
+    rows = [(i % 2, (i % 10) / 10, int(c == 0), c) for c in (0, 1) for i in range(80)] + [(0, 0.5, 1, 2)]
+    got = models.isotonic(spark.createDataFrame(rows, "fold int, conf double, ok int, cls int"), "fold", "conf", "ok", "cls", 2).collect()
+    by = {c: [r["calibrated"] for r in got if r["cls"] == c] for c in range(3)}
+    w = 40 / 60  # forty rows of a class in the other fold
+    assert len(got) == len(rows) and min(by[0]) >= w and max(by[1]) <= 1 - w and 0 < by[2][0] < 1
