@@ -4,16 +4,16 @@ Paragraphs are lines of at least `least_words` words, which is a full shingle. B
 for high recall, bring paragraphs together; colliding ones are verified by the exact Jaccard coefficient, and links
 join them into components. A component's first paragraph (smallest key, then place) stays, all others go.
 
-A passage inside longer paragraphs is caught by its windows: of all windows of 24 words those with the smallest hash
-among 24 neighbours are kept, so that any 47 words that two places share have a kept window in common (a paragraph of
+A passage inside longer paragraphs is caught by its windows in what the paragraphs leave: of all windows of 24 words
+without a word of a line that goes, those with the smallest hash among 24 neighbours are kept, so that any 47 words that two places share have a kept window in common (a paragraph of
 its own, equal word for word, within the other). Kept windows that several documents hold are seeds: around each of
 them, in every document that has it, all windows less than 24 words away are compared, so the whole of such a run is
-found, and no word of it stays. The first place of a window (smallest key, then place) stays, all others go, in the same
+found, and no word of it stays. Very long texts are read whole. The first place of a window (smallest key, then place) stays, all others go, in the same
 document too; a place that overlaps the first one in the same document loses what is beyond that. Overlapping spans
 are one, and go if a seed in them goes.
 
 Words are as in the shingles module. Null and empty texts have no paragraphs. Paragraphs and windows that repeat within a
-document are members like any others. Rows with equal keys and texts count as one document for windows. Extra columns
+document are members like any others. Rows without a key have paragraphs but no windows. Rows with equal keys and texts count as one document for windows. Extra columns
 stay. White space between what is left of a text is left alone, but for lines that go as a whole with their line end.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewright.llm import shingles as sh
-from gatewright.llm.common import WordCache, cut, table
+from gatewright.llm.common import cut, maybe_among, release, table
 
 LEAST_WORDS = 5
 WINDOW = 24
@@ -96,50 +96,69 @@ def near_places(seeds: np.ndarray, n: int, size: int = WINDOW) -> np.ndarray:
     return np.flatnonzero(np.cumsum(step[:n]))
 
 
+def _lines_of(text: str) -> tuple[list[bytes], np.ndarray]:
+    """A text's words, and how many of them stand before the end of each line."""
+    words, ends = [], []
+    for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
+        words += line.split()
+        ends.append(len(words))
+    return words, np.array(ends)
+
+
 def windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
-    """key, digest of the text, place (in words) and hash of the kept windows of whole texts."""
+    """key, digest of the text, place (in words), first and last line and hash of the kept windows of whole texts."""
     slim = df.select(key, F.xxhash64(text).alias("digest"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(sh.word_hash)
         for batch in batches:
-            at, places, found = [], [], []
+            at, found = [np.empty(0, np.int64)], [[np.empty(0, np.int64)] for _ in range(4)]
             for k, value in enumerate(batch.column(2)):
-                p, h = window_places(np.array(cache.all(sh.words_of(value.as_py() or "")), np.uint64), size)
-                at.append(np.full(len(h), k))
-                places.append(p)
-                found.append(h.view(np.int64))
-            if at:
-                rows = pa.array(np.concatenate(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(found), pa.int64())], [key, "digest", "at", "window"])
+                words, ends = _lines_of(value.as_py() or "")
+                p, h = window_places(sh.word_hashes(words), size)
+                if len(h):
+                    at.append(np.full(len(h), k))
+                    for column, x in zip(found, (p, np.searchsorted(ends, p, "right"), np.searchsorted(ends, p + size - 1, "right"), h.view(np.int64)), strict=True):
+                        column.append(x)
+            rows = pa.array(np.concatenate(at), pa.int64())
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(np.concatenate(c), t) for c, t in zip(found, kinds, strict=True)]], [key, "digest", "at", "first", "last", "window"])
 
-    return slim.mapInArrow(run, f"`{key}` {dict(slim.dtypes)[key]}, digest long, at int, window long")
+    return slim.mapInArrow(run, f"`{key}` {dict(slim.dtypes)[key]}, digest long, at int, first int, last int, window long")
 
 
-def windows_near(df: DataFrame, key: str, text: str, seeds: DataFrame, size: int = WINDOW) -> DataFrame:
+def windows_near(df: DataFrame, key: str, text: str, seeds: DataFrame, lost: DataFrame, size: int = WINDOW) -> DataFrame:
     """key, digest, start and end (code points) and hash of all windows near the seeds (key, digest, at, late), and
-    whether they are late seeds."""
+    whether they are late seeds. Windows with a word of a lost line (key, parts) are left out."""
     mark = F.shiftleft("at", 1).bitwiseOR(F.col("late").cast("int"))
     asked = seeds.groupBy(F.col(key).alias("__key"), "digest").agg(F.collect_list(mark).alias("__at"))  # a document's own seeds
+    asked = cut(asked.join(lost.select(F.col(key).alias("__key"), F.col("parts").alias("__lost")), "__key", "left"), "asked")
     slim = df.select(key, F.xxhash64(text).alias("__digest"), text)
-    rows = slim.join(asked, (F.col(key) == F.col("__key")) & (F.col("__digest") == F.col("digest"))).select(key, "digest", text, "__at")
+    rows = maybe_among(slim, key, asked).join(asked, (F.col(key) == F.col("__key")) & (F.col("__digest") == F.col("digest"))).select(key, "digest", text, "__at", "__lost")
 
     def flush(keys: pa.Array, digests: pa.Array, at: list, starts: list, ends: list, found: list, late: list) -> pa.RecordBatch:
         take = pa.array(np.concatenate(at), pa.int64())
         return pa.RecordBatch.from_arrays([keys.take(take), digests.take(take), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(late))], [key, "digest", "start", "end", "window", "late"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(sh.word_hash)
         for batch in batches:
             out, held = ([], [], [], [], []), 0
-            for k, (value, seen) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            for k, (value, seen, gone) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4), strict=True)):
                 t = value.as_py()
-                h = window_hashes(np.array(cache.all(sh.words_of(t)), np.uint64), size)
+                words, ends = _lines_of(t)
+                h = window_hashes(sh.word_hashes(words), size)
                 seeds = seen.values.to_numpy().astype(np.int64)
                 late = np.zeros(len(h), bool)
                 late[seeds[seeds & 1 > 0] >> 1] = True
                 places = near_places(seeds >> 1, len(h), size)
-                spans = np.array([m.span() for m in _WORD.finditer(t)], np.int64)
+                if gone.is_valid:
+                    lines = np.unique(gone.values.to_numpy())
+                    lines = lines[lines < len(ends)]
+                    step = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(step, np.where(lines > 0, ends[lines - 1], 0), 1)
+                    np.add.at(step, ends[lines], -1)
+                    before = np.concatenate(([0], np.cumsum(np.cumsum(step[:-1]))))
+                    places = places[before[places + size] == before[places]]
+                spans = np.array([m.span() for m in _WORD.finditer(t)], np.int64).reshape(-1, 2)
                 for column, x in zip(out, (np.full(len(places), k), spans[places, 0], spans[places + (size - 1), 1], h[places].view(np.int64), late[places]), strict=True):
                     column.append(x)
                 held += len(places)
@@ -154,38 +173,37 @@ def windows_near(df: DataFrame, key: str, text: str, seeds: DataFrame, size: int
 
 def repeated_paragraphs(df: DataFrame, key: str, text: str, least_words: int = LEAST_WORDS) -> DataFrame:
     """key, part, start, end (code points), component_id, kept: paragraphs that have a near duplicate."""
-    plan = paragraph_plan()
-    found = cut(sh.units(df, key, text, lines, plan, signed=False, least_words=least_words), "paragraphs")
-    every = sh.classes(found, key, signed=False)
-    state: dict[str, DataFrame] = {}
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        if "sets" in state:
-            asked = asked.join(state["sets"].select("cls"), "cls", "left_anti")
-        more = sh.full_sets(df, key, text, lines, plan, every.join(asked, "cls", "left_semi"))
-        state["sets"] = more if "sets" not in state else state["sets"].unionByName(more)
-        return sh.exact(pairs, state["sets"], plan)
-
-    groups = sh.linked_classes(every, plan, verify).withColumnRenamed("id", "cls")
+    plan, spark = paragraph_plan(), df.sparkSession
+    banded = cut(sh.units(df, key, text, lines, plan, signed=False, least_words=least_words), "paragraphs")
+    every = sh.classes(banded, key, signed=False)
+    found = cut(banded.drop("bands"), "found")
+    release(spark, banded)
+    groups = sh.linked_classes(every, plan, lambda wanted: sh.full_sets(df, key, text, lines, plan, wanted)).withColumnRenamed("id", "cls")
     sizes = found.where("set_key is not null").groupBy("set_key").agg(F.count("*").alias("copies"))
     named = every.select("cls", "set_key", "place").join(groups, "cls", "left").join(sizes, "set_key").where("component is not null or copies > 1").withColumn("component", F.coalesce("component", "cls"))
     first = named.groupBy("component").agg(F.min("place").alias("first"))
     labels = cut(named.join(first, "component").select("set_key", F.col("component").alias("component_id"), "first"), "labels")
+    release(spark, every)
     out = found.select(key, "part", "start", "end", "set_key").join(labels, "set_key")
     return out.select(key, "part", "start", "end", "component_id", (F.col(key).eqNullSafe(F.col("first.key")) & (F.col("part") == F.col("first.part"))).alias("kept"))
 
 
-def repeated_windows(df: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
+def repeated_windows(df: DataFrame, key: str, text: str, lost: DataFrame, size: int = WINDOW) -> DataFrame:
     """key, digest and spans (array of start and end in code points) of windows that stand at an earlier place too;
-    rows of the documents that have any."""
-    kept = cut(windows(df, key, text, size).where(F.col(key).isNotNull()), "windows")
+    rows of the documents that have any. lost: the lines (key, parts) that go anyway, whose words take no part. Rows
+    without a key take no part."""
+    spark = df.sparkSession
+    every = windows(df, key, text, size).where(F.col(key).isNotNull()).join(lost, key, "left")
+    free = F.col("parts").isNull() | ~F.exists("parts", lambda p: p.between(F.col("first"), F.col("last")))
+    kept = cut(every.where(free).select(key, "digest", "at", "window"), "windows")
     # few windows come more than once; only theirs are first places looked for
     shared = cut(kept.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "shared")
     held = cut(kept.join(shared, "window"), "held")
+    release(spark, kept, shared)
     place = F.struct(F.col(key).alias("key"), "digest", "at")
     seeds = held.join(cut(held.groupBy("window").agg(F.min(place).alias("first")), "first"), "window").withColumn("late", place != F.col("first")).drop("first")
-    found = cut(windows_near(df, key, text, seeds, size), "near")
+    found = cut(windows_near(df, key, text, seeds, lost, size), "near")
+    release(spark, held)
     place = F.struct(F.col(key).alias("key"), "digest", "start", "end")
     owners = found.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     again = found.join(cut(owners.select("window", "first"), "owners"), "window").where(place != F.col("first"))
@@ -211,7 +229,10 @@ def repeated_windows(df: DataFrame, key: str, text: str, size: int = WINDOW) ->
 
 def removals(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Repeated paragraphs (kept ones too), and per document the spans of repeated windows."""
-    return cut(repeated_paragraphs(df, key, text), "repeated"), cut(repeated_windows(df, key, text), "again")
+    paragraphs = cut(repeated_paragraphs(df, key, text), "repeated")
+    lost = cut(paragraphs.where("not kept").groupBy(key).agg(F.collect_set("part").alias("parts")), "lost")  # a document's own lines
+    release(df.sparkSession)
+    return paragraphs, cut(repeated_windows(df, key, text, lost), "again")
 
 
 def _spans(text: str, paragraphs: list[tuple[int, int]], windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -236,7 +257,10 @@ def clean(df: DataFrame, key: str, text: str, out: str = "removed") -> DataFrame
     paragraphs, places = removals(df, key, text)
     lost = paragraphs.where("not kept").groupBy(F.col(key).alias("__k")).agg(F.collect_set(F.struct("start", "end")).alias("__p"))
     found = places.groupBy(F.col(key).alias("__k")).agg(F.collect_list(F.struct("digest", "spans")).alias("__w"))  # one for each of its texts
-    rows = df.join(cut(lost.join(found, "__k", "full_outer"), "plan"), F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
+    plan = cut(lost.join(found, "__k", "full_outer"), "plan")
+    marked = maybe_among(df, key, plan, "__maybe")  # texts that lose nothing stay where they are
+    rows = marked.where("__maybe").join(plan, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k", "__maybe")
+    others = marked.where("not __maybe").drop("__maybe")
     own = F.filter("__w", lambda x: x["digest"] == F.xxhash64(text))
     rows = rows.withColumn("__w", F.flatten(F.transform(own, lambda x: x["spans"])))
     names = [c for c in rows.columns if c not in ("__p", "__w")]
@@ -262,7 +286,8 @@ def clean(df: DataFrame, key: str, text: str, out: str = "removed") -> DataFrame
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, _SPANS)], [*names, out])
 
-    return rows.select(*names, "__p", "__w").mapInArrow(run, schema)
+    same = others.withColumn(out, F.array().cast("array<struct<start:int,end:int>>"))
+    return rows.select(*names, "__p", "__w").mapInArrow(run, schema).unionByName(same)
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
