@@ -5,9 +5,9 @@ one. A full piece is a sequence of its own. The other pieces are dealt into bloc
 a block a population of packings evolves: a crossover injects well-filled bins of one parent into the other, drops the
 bins that hold the same pieces again and best-fits the displaced pieces. After each epoch every island's elite moves
 to the next island. The best packing of a block keeps its well-filled bins; the pieces of all others are dealt
-again into fewer blocks, until one block is left.
+again into fewer blocks, until one block is left. Ties are settled by item numbers and seeded draws.
 
-Null text: empty, one piece that holds the end id. Repeated documents are packed as often as they come. Extra columns
+Very long texts are encoded whole, one at a time. Null text: empty, one piece that holds the end id. Repeated documents are packed as often as they come. Extra columns
 are left alone. An empty table gives no rows.
 """
 
@@ -55,33 +55,48 @@ class BytePairIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = WordCache(self._make, CACHED, self._learn)
+        self.cache = WordCache(None, CACHED, self._learn)
         (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _make(self, word: str) -> bytes:
-        stem = word.rstrip(TAILS)
-        if len(stem) < len(word) and stem and stem[-1].isalnum():
-            return self.cache.one(stem) + self.cache.one(word[len(stem) :])
-        return self.whole(word)
-
     def _learn(self, lack: set[str]) -> None:
-        """Encodes words that the cache lacks in one call, as lines of one text: the tokenizer's words end at a single
-        line end, and no other token is the line end's."""
+        """Puts words that the cache's last generation lacks there. What no generation has is encoded in one call, as
+        lines of one text: the tokenizer's words end at a single line end, and no other token is the line end's."""
         new, old = self.cache.new, self.cache.old
-        stems = {s if (s := w.rstrip(TAILS)) and s[-1].isalnum() else w for w in lack if w not in old}
-        wanted = [s for s in stems if s not in new and s not in old and _PLAIN.fullmatch(s)]
-        if not wanted:
-            return
-        ids = np.array(self.tokenizer.encode("\n".join(wanted), add_special_tokens=False).ids, "<u4")
-        ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
-        data, at = ids.tobytes(), 0
-        for s, end in zip(wanted, ends, strict=True):
-            new[s] = data[4 * at : 4 * end]
-            at = end + 1
+        joined, wanted = [], set()
+        for w in lack:
+            if (found := old.get(w)) is not None:
+                new[w] = found
+                continue
+            stem = w.rstrip(TAILS)
+            if len(stem) == len(w) or not stem or not stem[-1].isalnum():
+                wanted.add(w)
+                continue
+            tail = w[len(stem) :]
+            joined.append((w, stem, tail))
+            for part in (stem, tail):
+                if part not in new:
+                    if (found := old.get(part)) is not None:
+                        new[part] = found
+                    else:
+                        wanted.add(part)
+        plain = [w for w in wanted if _PLAIN.fullmatch(w)]
+        if plain:
+            ids = np.array(self.tokenizer.encode("\n".join(plain), add_special_tokens=False).ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+            data, at = ids.tobytes(), 0
+            for w, end in zip(plain, ends, strict=True):
+                new[w] = data[4 * at : 4 * end]
+                at = end + 1
+        if len(plain) < len(wanted):
+            for w in wanted:
+                if w not in new:
+                    new[w] = self.whole(w)
+        for w, stem, tail in joined:
+            new[w] = new[stem] + new[tail]
 
     def _odd(self, text: str) -> bool:
         """Whether words don't end at every blank and line end. Where neither stands beside another and no other white
