@@ -60,38 +60,81 @@ def test_scores_of_odd_rows(odd, empty):
 
 
 def test_scores_equal_brute_force(spark):
+    """Counts, escape estimates, exclusion and the base score, from the definition, for 25 documents."""
     docs = documents(spark)
     train = {k for k in docs if zlib.crc32(str(k).encode()) % 7 != 2}
-    words = Counter(w for k in train for w in docs[k].encode().lower().split())
+    spell = lambda t: b" " + b"".join(w + b" " for w in t.encode().lower().split()) + b"\n"
     counts = defaultdict(Counter)
-    for w, c in words.items():
-        s = b" " + w + b" "
-        for k in range(1, len(s)):
-            for j in range(min(k, lm_scoring.ORDER) + 1):
-                counts[s[k - j : k]][s[k]] += c
-    for context in (b"", b" "):
-        counts[context][10] += len(train)
+    for k in train:
+        s = spell(docs[k])
+        for i in range(1, len(s)):
+            for j in range(min(i, lm_scoring.ORDER) + 1):
+                counts[s[i - j : i]][s[i]] += 1
+    size = lambda n: n if n < 6 else min(6 + math.floor(2 * math.log2(n / 6)), lm_scoring.N_BINS - 1)
+    events = defaultdict(lambda: [0, 0])
+    for c, own in counts.items():
+        n = sum(own.values())
+        for times in own.values() if n > 1 else ():
+            new = times == 1
+            events[len(c), size(n - 1), min(len(own) - new, lm_scoring.Q_BINS - 1)][0 if new else 1] += times
 
     def logp(context, byte):
         out, seen = 0.0, set()
         for j in range(len(context), -1, -1):
-            own = {b: c for b, c in counts.get(context[len(context) - j :], {}).items() if b not in seen}
+            every = counts.get(context[len(context) - j :], {})
+            own = {b: c for b, c in every.items() if b not in seen}
             if own:
-                total, kinds = sum(own.values()), len(own)
+                n, left = sum(every.values()), sum(own.values())
+                cell = events.get((j, size(n), min(len(every), lm_scoring.Q_BINS - 1)))
+                e = (cell[0] + 0.5) / (sum(cell) + 1.5) if cell else len(every) / (n + len(every))
+                e = e / (e + (1 - e) * left / n)
                 if byte in own:
-                    return out + math.log10(own[byte] / (total + kinds))
-                out += math.log10(kinds / (total + kinds))
+                    return out + math.log10((1 - e) * own[byte] / left)
+                out += math.log10(e)
                 seen |= set(own)
         return out - math.log10(256 - len(seen))
 
+    words = Counter(w for k in train for w in docs[k].encode().lower().split())
+    n, v = sum(words.values()) + len(train), len(words) + 1
     got = {r["doc_id"]: r for r in lm_scoring.op1_lm_scoring(spark, SF_DIR).collect()}
-    for k in sorted(docs)[:60]:
-        want = logp(b" ", 10)
-        for w in docs[k].encode().lower().split():
-            s = b" " + w + b" "
-            want += sum(logp(s[max(0, i - lm_scoring.ORDER) : i], s[i]) for i in range(1, len(s)))
-        assert got[k]["score"] == pytest.approx(want, rel=1e-9)
-        assert got[k]["held_out"] == (k not in train)
+    assert set(got) == set(docs)
+    for k in sorted(docs, key=lambda k: len(docs[k]))[:25]:
+        s, tokens = spell(docs[k]), docs[k].encode().lower().split()
+        want = sum(logp(s[max(0, i - lm_scoring.ORDER) : i], s[i]) for i in range(1, len(s)))
+        base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in tokens) + math.log10((len(train) + 1) / (n + v + 1))
+        r = got[k]
+        assert r["score"] == pytest.approx(want, rel=1e-9) and r["base_score"] == pytest.approx(base, rel=1e-9)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (k not in train, len(tokens) + 1, sum(words[w] > 0 for w in tokens) + 1, n)
+
+
+def test_scores_are_a_distribution():
+    """After any context the probabilities of all bytes sum to one."""
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.choice(list(b"abcd"), rng.integers(1, 6))) for _ in range(300)]
+    codes, counts = lm_scoring.with_suffixes(*lm_scoring.distinct(lm_scoring.text_codes([words])[0]))
+    escapes = lm_scoring.Escapes(lm_scoring.escape_events(codes, counts))
+    low = lm_scoring.low_nodes([(c, n) for c, n in zip(codes.tolist(), counts.tolist()) if (c >> 8) & 7 <= 1], escapes)
+    asked = sorted({(c >> 8 << 8) | b for c in codes[::37].tolist() for b in range(256)} | set(codes.tolist()))
+    seen = dict(zip(codes.tolist(), counts.tolist()))
+    values = dict(lm_scoring.sweep(((c, seen.get(c, 0), True) for c in asked), low, escapes))
+    for place in {c >> 8 for c in codes[::37].tolist()}:
+        assert sum(10 ** values[place << 8 | b] for b in range(256)) == pytest.approx(1)
+
+
+def test_known_words_beat_the_base(spark):
+    """On held-out documents all of whose words are known, the model beats the unigram base."""
+    rows = [r for r in lm_scoring.op1_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    known = [r for r in rows if r["n_known"] >= 0.97 * r["n_tokens"]]
+    assert len(known) > 5 and sum(r["score"] for r in known) > sum(r["base_score"] for r in known)
+
+
+def test_scores_across_ranges(spark, monkeypatch):
+    """Small ranges and groups give the same scores."""
+    want = {r["doc_id"]: r["score"] for r in lm_scoring.op1_lm_scoring(spark, SF_DIR).collect()}
+    for name, value in (("RANGE_CODES", 20_000), ("GROUP_BYTES", 100_000), ("CODED_BYTES", 5_000), ("ASKING_GROUPS", 2)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.op1_lm_scoring(spark, SF_DIR).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-12) for k, v in want.items()}
 
 
 def test_adaptive_scores_learn():
