@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Prefixes that an answer may begin with, one at a time, and words that negate a clause.
-ANSWER_PREFIXES = ("label", "sentiment", "answer")
-NEGATORS = ("not", "no", "never", "neither", "nor", "without")
-CONTRAST = ("but", "however", "although", "though", "yet")
+#: Prefixes that an answer may begin with, each taken off once and in this order; words and phrases that
+#: negate what follows them in a clause; words that end a clause.
+ANSWER_PREFIXES = ("label", "sentiment", "answer", "the sentiment is", "it is")
+NEGATORS = (
+    "not", "no", "never", "non", "neither", "nor", "without",
+    "isn't", "isnt", "wasn't", "wasnt", "aren't", "arent",
+    "cannot", "can't", "cant", "don't", "dont", "doesn't", "doesnt",
+    "rather than", "instead of", "other than", "unlike", "besides",
+)
+CONTRAST = ("but", "though", "however", "although", "whereas", "yet")
 
 
 def quoted(text: Column) -> Column:
@@ -32,7 +38,10 @@ def undecorate(text: Column) -> Column:
 
 def normalize_answer(text: Column) -> Column:
     """Undecorated, without leading words such as `answer`."""
-    return F.trim(F.regexp_replace(undecorate(text), rf"^((the )?({'|'.join(ANSWER_PREFIXES)})( is)?\s+)+", ""))
+    out = undecorate(text)
+    for prefix in ANSWER_PREFIXES:
+        out = F.trim(F.regexp_replace(out, rf"^(the )?{prefix}( is)?(?!\w)\s*", ""))
+    return out
 
 
 def normalize_qa(text: Column) -> Column:
@@ -54,7 +63,7 @@ def negated(text: Column, label: Column) -> Column:
     """Whether label is mentioned and each mention has a negator before it in its clause."""
     clauses = F.split(F.lower(text), rf"[.!?;:,\n]|\b({'|'.join(CONTRAST)})\b")
     held = F.filter(clauses, lambda c: mentions(c, label))
-    before = F.concat(F.lit(rf"\b({'|'.join(NEGATORS)})\b.*(?<!\w)"), quoted(F.lower(label)), F.lit(r"(?!\w)"))
+    before = F.concat(F.lit(rf"(?<![\w'])({'|'.join(NEGATORS)})(?![\w']).*(?<!\w)"), quoted(F.lower(label)), F.lit(r"(?!\w)"))
     return (F.size(held) > 0) & F.forall(held, lambda c: F.regexp_like(c, before))
 
 

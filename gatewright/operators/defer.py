@@ -63,12 +63,21 @@ def running_precision(df: DataFrame, by: list[str], pred: str, conf: str, ok: st
     return df.withColumn("precision", F.avg(F.col(ok).cast("double")).over(at_least)).withColumn("support", F.count("*").over(at_least))
 
 
+def precision_points(df: DataFrame, by: list[str], pred: str, conf: str, ok: str) -> DataFrame:
+    """running_precision once per distinct confidence (column t): counts are combined first, so the window goes over
+    distinct confidences and not over items."""
+    per = df.groupBy(*by, pred, F.col(conf).alias("t")).agg(F.count("*").alias("__n"), F.sum(ok).alias("__s"))
+    at_least = Window.partitionBy(*by, pred).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    support = F.sum("__n").over(at_least)
+    return per.select(*by, pred, "t", (F.sum("__s").over(at_least) / support).alias("precision"), support.alias("support"))
+
+
 def guaranteed_coverage(df: DataFrame, by: list[str], pred: str, conf: str, ok: str, bar: float, least: int = 30) -> DataFrame:
     """Per predicted class the lowest confidence from which on the precision clears the bar with the support, and the
     share of the class at or above it (0 without such a confidence)."""
-    run = running_precision(df, by, pred, conf, ok)
-    good = F.when((F.col("precision") >= bar) & (F.col("support") >= least), F.struct(F.col("support").alias("s"), F.col(conf).alias("t")))
-    return run.groupBy(*by, pred).agg(F.max(good).alias("x"), F.count("*").alias("n")).select(*by, pred, F.col("x.t").alias("threshold"), (F.coalesce("x.s", F.lit(0)) / F.col("n")).alias("coverage"))
+    run = precision_points(df, by, pred, conf, ok)
+    good = F.when((F.col("precision") >= bar) & (F.col("support") >= least), F.struct(F.col("support").alias("s"), F.col("t")))
+    return run.groupBy(*by, pred).agg(F.max(good).alias("x"), F.max("support").alias("n")).select(*by, pred, F.col("x.t").alias("threshold"), (F.coalesce("x.s", F.lit(0)) / F.col("n")).alias("coverage"))
 
 
 def precision_floor(df: DataFrame, by: list[str], fold: str, pred: str, conf: str, ok: str, llm_ok: str, margin: float, least: int = 30) -> DataFrame:
@@ -76,10 +85,10 @@ def precision_floor(df: DataFrame, by: list[str], fold: str, pred: str, conf: st
     at least (1 - margin) times the expensive model's accuracy on the class; classes without one go whole."""
     folds = df.select(fold).distinct()
     others = F.broadcast(folds.withColumnRenamed(fold, "__own")).join(df, F.col("__own") != F.col(fold))  # one copy a fold
-    run = running_precision(others, [*by, "__own"], pred, conf, ok)
-    anchor = F.avg(F.col(llm_ok).cast("double")).over(Window.partitionBy(*by, "__own", pred))
+    run = precision_points(others, [*by, "__own"], pred, conf, ok)
+    anchor = others.groupBy(*by, "__own", pred).agg(F.avg(F.col(llm_ok).cast("double")).alias("__anchor"))
     good = (F.col("precision") >= (1 - margin) * F.col("__anchor")) & (F.col("support") >= least)
-    floor = run.withColumn("__anchor", anchor).where(good).groupBy(*by, F.col("__own").alias(fold), pred).agg(F.min(conf).alias("__floor"))
+    floor = run.join(F.broadcast(anchor), [*by, "__own", pred]).where(good).groupBy(*by, F.col("__own").alias(fold), pred).agg(F.min("t").alias("__floor"))  # folds x classes rows
     return df.join(F.broadcast(floor), [*by, fold, pred], "left").withColumn("escalate", F.coalesce(F.col(conf) < F.col("__floor"), F.lit(True))).drop("__floor")
 
 
@@ -118,23 +127,50 @@ def pareto(df: DataFrame, by: list[str], cost: str, score: str) -> DataFrame:
     return df.where(F.col(cost).isNotNull()).withColumn("__best", F.max(score).over(upto)).where(F.col(score) >= F.col("__best")).drop("__best")
 
 
-def class_router(df: DataFrame, gold: str, pred: str, free_ok: str, llm_ok: str, budget: float) -> list:
-    """Predicted classes to hand over, greedily by what balanced accuracy gains per item, while the share of items
-    stays within the budget. The steps run on the (predicted, gold) cube: classes x classes rows."""
-    cube = df.groupBy(F.col(pred).alias("p"), F.col(gold).alias("g")).agg(F.count("*").alias("n"), F.sum(free_ok).alias("f"), F.sum(llm_ok).alias("l")).collect()
-    support: dict = {}
-    for r in cube:
-        support[r["g"]] = support.get(r["g"], 0) + r["n"]
-    gain, size = {}, {}
-    for r in cube:
-        gain[r["p"]] = gain.get(r["p"], 0.0) + (r["l"] - r["f"]) / support[r["g"]] / len(support)
-        size[r["p"]] = size.get(r["p"], 0) + r["n"]
-    chosen, spent, total = [], 0, sum(size.values())
-    for p in sorted(gain, key=lambda c: (-gain[c] / size[c], str(c))):
-        if gain[p] > 0 and spent + size[p] <= budget * total:
-            chosen.append(p)
-            spent += size[p]
-    return sorted(chosen)
+def _handed(cells: list, size: dict, room: float) -> list:
+    """Classes to hand over, one at a time: the one that raises balanced accuracy on `cells` most (ties: the lowest), as
+    long as one does; a class of which more than the room's items come up is passed over. cells: (predicted, gold, n,
+    cheap right, expensive right)."""
+    golds, preds = sorted({c[1] for c in cells}), sorted({c[0] for c in cells})
+    support = {g: sum(c[2] for c in cells if c[1] == g) for g in golds}
+    right = {g: sum(c[3] for c in cells if c[1] == g) for g in golds}
+    edge: dict = {p: {c[1]: c[4] - c[3] for c in cells if c[0] == p} for p in preds}
+    score = lambda r: sum(r[g] / support[g] for g in golds) / len(golds)
+    taken, left, now = [], list(preds), score(right)
+    while left:
+        after = [(score({g: right[g] + edge[p].get(g, 0) for g in golds}), -k) for k, p in enumerate(left)]
+        best, k = max(after)
+        if best <= now + 1e-12:
+            break
+        p = left.pop(-k)
+        if not 0 < size.get(p, 0) <= room:
+            continue
+        room -= size[p]
+        taken.append(p)
+        right, now = {g: right[g] + edge[p].get(g, 0) for g in golds}, best
+    return taken
+
+
+def class_router(df: DataFrame, fold: str, gold: str, pred: str, free_ok: str, llm_ok: str, budget: float) -> DataFrame:
+    """df with `escalate`: per fold the predicted classes that are handed over whole, chosen on the other folds by what
+    balanced accuracy gains, rescored after each class, while the fold's own items stay within the budget (a share of the
+    fold). The choice runs on the (fold, predicted, gold) cube: folds x classes x classes rows on the driver."""
+    cube = df.groupBy(fold, F.col(pred).alias("p"), F.col(gold).alias("g")).agg(F.count("*").alias("n"), F.sum(free_ok).alias("f"), F.sum(llm_ok).alias("l")).collect()
+    rows = []
+    for own in sorted({r[fold] for r in cube}):
+        others: dict = {}
+        size: dict = {}
+        for r in cube:
+            if r[fold] == own:
+                size[r["p"]] = size.get(r["p"], 0) + r["n"]
+            else:
+                c = others.setdefault((r["p"], r["g"]), [0, 0, 0])
+                for k, x in enumerate((r["n"], r["f"], r["l"])):
+                    c[k] += x
+        rows += [(own, p) for p in _handed([(*k, *v) for k, v in others.items()], size, budget * sum(size.values()))]
+    kind = dict(df.dtypes)
+    chosen = df.sparkSession.createDataFrame(rows, f"`{fold}` {kind[fold]}, `{pred}` {kind[pred]}").withColumn("escalate", F.lit(True))
+    return df.join(F.broadcast(chosen), [fold, pred], "left").withColumn("escalate", F.coalesce("escalate", F.lit(False)))  # folds x classes rows
 
 
 def margin_signal(proba: Column) -> Column:

@@ -62,11 +62,29 @@ def ngram_overlap(queries: DataFrame, corpus: DataFrame, q: str, c: str, text: s
     is stated and small; n-grams that no query has are dropped before anything is grouped."""
 
     def grams(df: DataFrame, key: str) -> DataFrame:
-        w = F.split(normalized(F.col(text)), " ")
-        each = F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.md5(F.array_join(F.slice(w, i, F.lit(n)), " ")))))
-        return df.select(F.col(key), F.explode(each).alias("gram"))
+        # a column of its own, so that a text is normalised once and not for each of its n-grams
+        words = df.select(F.col(key), F.split(normalized(F.col(text)), " ").alias("w"))
+        each = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.md5(F.array_join(F.slice("w", i, F.lit(n)), " "))))
+        return words.select(F.col(key), F.explode(each).alias("gram"))
 
-    own = grams(queries, q)
+    own = grams(queries, q).distinct()
     size = own.groupBy(q).agg(F.count("*").alias("__size"))
-    hit = own.join(grams(corpus, c), "gram").groupBy(q, c).agg(F.count("*").alias("shared"))
+    hit = own.join(grams(corpus, c), "gram").distinct().groupBy(q, c).agg(F.count("*").alias("shared"))
     return hit.join(size, q).select(q, c, "shared", (F.col("shared") / F.col("__size")).alias("share"))
+
+
+def containing(df: DataFrame, items: DataFrame, key: str, text: str, item: str, needle: str, n: int = 5) -> DataFrame:
+    """Pairs (key, item) of the rows whose whole text contains the whole needle as it stands. Candidates come from an
+    equi-join on one inner n-gram of the needle's words (its first and last word may be parts of longer ones); needles of
+    under n + 2 words, which have none, are tested one by one against all rows."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    q = items.select(F.col(item).alias("__i"), F.col(needle).alias("__t"), words(F.col(needle)).alias("w"))
+    long = q.where(F.size("w") >= n + 2).select("__i", "__t", F.xxhash64(F.array_join(F.slice("w", 2, n), " ")).alias("__g"))
+    rows = df.select(F.col(key).alias("__k"), F.col(text).alias("__x"))
+    held = rows.select("__k", words(F.col("__x")).alias("w"))
+    grams = held.select("__k", F.explode(F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " "))))).alias("__g"))
+    pairs = grams.join(long, "__g").select("__k", "__i", "__t").distinct()
+    found = rows.join(pairs, "__k").where(F.contains("__x", "__t")).select("__k", "__i").distinct()
+    short = q.where(F.size("w") < n + 2)
+    direct = rows.join(short, F.contains("__x", "__t")).select("__k", "__i")
+    return found.unionByName(direct).select(F.col("__k").alias(key), F.col("__i").alias(item))

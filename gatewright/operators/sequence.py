@@ -106,8 +106,13 @@ def skeletons(df: DataFrame, conv: str, turn: str, act: str) -> DataFrame:
 
 
 def templates(df: DataFrame, by: list[str], text: str, example: str, least: int, most_examples: int) -> DataFrame:
-    """Distinct texts per group with counts and the first example ids; the rare ones dropped."""
-    return df.groupBy(*by, text).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(example)), 1, most_examples).alias("examples")).where(F.col("n") >= least)
+    """Distinct texts per group with counts and the first example ids; the rare ones dropped. Examples are ranked before
+    they are gathered, so a common text holds no more than it shows."""
+    counts = df.groupBy(*by, text).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    ranked = df.select(*by, text, example).distinct().withColumn("__k", F.row_number().over(Window.partitionBy(*by, text).orderBy(example))).where(F.col("__k") <= most_examples)
+    shown = ranked.groupBy(*by, text).agg(F.array_sort(F.collect_list(example)).alias("examples"))
+    same = [counts[c].eqNullSafe(shown[c]) for c in (*by, text)]
+    return counts.join(shown, same).select(*[counts[c] for c in (*by, text)], "n", "examples")
 
 
 def serialize(df: DataFrame, conv: str, turn: str, role: str, text: str, answer: str) -> DataFrame:

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of the corpus or the queries in a block.
-BLOCK_ROWS = 4096
-
-
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -20,8 +16,8 @@ def cosine(a: str, b: str) -> Column:
 def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, digits: int = 9) -> DataFrame:
     """Per query its k nearest corpus rows by cosine, itself left out; similarities rounded, ties to the lowest key.
 
-    The queries are a stated set: each block of them meets the corpus where it lies, and every task keeps its own k
-    best before anything is shuffled (a window by task, then one over what is left).
+    The queries are a stated set that meets the corpus where it lies, and every task keeps its own k best before
+    anything is shuffled (a window by task, then one over what is left).
     """
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
     c = corpus.select(F.col(key).alias("neighbour"), F.col(vector).alias("__c")).withColumn("__p", F.spark_partition_id())
@@ -32,11 +28,14 @@ def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int
 
 
 def nearest_with_ties(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, digits: int = 9) -> DataFrame:
-    """The k nearest and whatever ties with the last of them."""
+    """The k nearest and whatever ties with the last of them. Every task keeps its own k best with their ties before
+    anything is shuffled: a row that k better ones of its task precede can't be among the k best of all."""
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
-    c = corpus.select(F.col(key).alias("neighbour"), F.col(vector).alias("__c"))
-    pairs = c.join(q, F.col("query") != F.col("neighbour")).select("query", "neighbour", F.round(cosine("__q", "__c"), digits).alias("similarity"))
-    return pairs.withColumn("rank", F.rank().over(Window.partitionBy("query").orderBy(F.desc("similarity")))).where(F.col("rank") <= k)
+    c = corpus.select(F.col(key).alias("neighbour"), F.col(vector).alias("__c")).withColumn("__p", F.spark_partition_id())
+    pairs = c.join(q, F.col("query") != F.col("neighbour")).select("query", "neighbour", "__p", F.round(cosine("__q", "__c"), digits).alias("similarity"))
+    place = lambda *by: F.rank().over(Window.partitionBy("query", *by).orderBy(F.desc("similarity")))
+    local = pairs.withColumn("rank", place("__p")).where(F.col("rank") <= k).drop("__p")
+    return local.withColumn("rank", place()).where(F.col("rank") <= k)
 
 
 def novelty(queries: DataFrame, corpus: DataFrame, key: str, vector: str, digits: int = 9) -> DataFrame:

@@ -72,9 +72,9 @@ def alignment(spark, d):
     return o.alignment(split_documents(spark, d).withColumn("h", F.md5("text")), "h", "split", "source")
 
 
-@plans.add("q089_shared_in_all", "SELECT md5(text) AS h FROM documents WHERE source < 'src3' GROUP BY 1 HAVING count(DISTINCT source) = (SELECT count(DISTINCT source) FROM documents WHERE source < 'src3')")
+@plans.add("q089_shared_in_all", "SELECT md5(text) AS h FROM documents GROUP BY 1 HAVING count(DISTINCT lang) = (SELECT count(DISTINCT lang) FROM documents)")
 def shared_in_all(spark, d):
-    return o.shared_in_all(table(spark, d, "documents").where("source < 'src3'").select(F.md5("text").alias("h"), "source"), "h", "source")
+    return o.shared_in_all(table(spark, d, "documents").select(F.md5("text").alias("h"), "lang"), "h", "lang")
 
 
 def _grams(source: str, key: str) -> str:
@@ -118,6 +118,22 @@ def score_prediction(spark, d):
     return answers(spark, d).groupBy((F.col("doc_id") % 8).alias("kind")).agg(F.avg(t.score_prediction(F.lit("no"), F.col("raw"), LABELS)).alias("score"))
 
 
+#: Answers with the score of the gold label `positive` among (positive, negative).
+NEGATION_CASES = (
+    ("positive", 1), ("not positive", 0), ("it isn't positive", 0), ("I cannot call it positive", 0), ("it is positive", 1), ("don't say negative, say positive", 1), ("positive rather than negative", 1), ("negative rather than positive", 0),
+    ("unlike the first, positive", 1), ("never negative but positive", 1), ("not negative whereas positive", 1), ("The sentiment is positive.", 1), ("positive or negative", 0), ("non positive", 0), ("not sure. definitely positive", 1), ("knot positive", 1),
+)
+_CASES_SQL = ", ".join(f"({i}, {s})" for i, (_, s) in enumerate(NEGATION_CASES))
+
+
+@plans.add("q048_negation", f"SELECT k, score, count(*) AS n FROM documents JOIN (VALUES {_CASES_SQL}) v(k, score) ON doc_id % {len(NEGATION_CASES)} = k GROUP BY 1, 2")
+def negation(spark, d):
+    """Denied labels aren't meant; a label is denied only if a negator stands before each of its mentions in its clause."""
+    said = F.element_at(F.array(*[F.lit(a) for a, _ in NEGATION_CASES]), (F.col("doc_id") % len(NEGATION_CASES) + 1).cast("int"))
+    x = table(spark, d, "documents").select((F.col("doc_id") % len(NEGATION_CASES)).alias("k"), said.alias("raw"))
+    return x.groupBy("k", t.score_prediction(F.lit("positive"), F.col("raw"), ["positive", "negative"]).alias("score")).agg(F.count("*").alias("n"))
+
+
 @plans.add("q051_lenient", "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'yes' WHEN 1 THEN 'yes' WHEN 2 THEN 'no' WHEN 3 THEN 'maybe' WHEN 4 THEN 'yes' WHEN 5 THEN 'yes' END AS label FROM documents")
 def lenient(spark, d):
     return answers(spark, d).select("doc_id", t.lenient_label(F.col("raw"), LABELS).alias("label"))

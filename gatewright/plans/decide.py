@@ -122,9 +122,9 @@ def pareto(spark, d):
 
 @plans.add("q263_class_router")
 def class_router(spark, d):
-    x = pair_log(spark, d)
-    chosen = g.class_router(x, "gold", "free_pred", "free_ok", "llm_ok", 0.4)
-    return g.outcome(x.withColumn("escalate", F.col("free_pred").isin(chosen)), [], "gold", "free_pred", "llm_pred", "escalate")
+    """Whole classes handed over, chosen on the other folds."""
+    x = g.class_router(pair_log(spark, d), "fold", "gold", "free_pred", "free_ok", "llm_ok", 0.4)
+    return g.outcome(x, [], "gold", "free_pred", "llm_pred", "escalate")
 
 
 @plans.add("q268_margin_signal", f"SELECT item_id, list_reverse_sort(proba)[1] - list_reverse_sort(proba)[2] AS margin FROM {Q}")

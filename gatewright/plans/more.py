@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatewright.functions import stats
 from gatewright.functions import text as t
+from gatewright.operators import overlap as o
 from gatewright.plans.base import Plans
 from gatewright.sources import files
 from gatewright.sources.fixtures import PAIR_LOG_SQL, PROBA_SQL, REPEATS_SQL, TURNS_SQL, doc_classes, pair_log, proba, repeats, table, turns, u, u_sql, DOC_CLASSES_SQL
@@ -167,11 +168,11 @@ def token_stats(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.avg(F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).cast("double")).alias("tokens"), F.avg(F.char_length("text").cast("double")).alias("chars"))
 
 
-@plans.add("q152_containment", "SELECT item_id, count(doc_id) AS holders FROM benchmark LEFT JOIN documents d ON contains(d.text, substr(benchmark.text, 1, 60)) GROUP BY 1")
+@plans.add("q152_containment", "SELECT item_id, count(doc_id) AS holders FROM benchmark LEFT JOIN documents d ON contains(d.text, benchmark.text) GROUP BY 1")
 def containment(spark, d):
-    """Documents that hold the whole text of each benchmark item. The items are a stated query set."""
+    """Documents that hold the whole text of each benchmark item."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    hit = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(b), F.expr("contains(text, item)")).groupBy("item_id").agg(F.count("*").alias("holders"))
+    hit = o.containing(table(spark, d, "documents"), b, "doc_id", "text", "item_id", "item").groupBy("item_id").agg(F.count("*").alias("holders"))
     return b.join(hit, "item_id", "left").select("item_id", F.coalesce("holders", F.lit(0)).alias("holders"))
 
 
@@ -218,6 +219,6 @@ def toxic_quality(spark, d):
     return doc_classes(spark, d).cube("gold", "toxic").agg(F.count("*").alias("n"))
 
 
-@plans.add("q047_mentions", "SELECT source, sum(regexp_matches(lower(text), '(^|[^\\w])the([^\\w]|$)')::INT)::BIGINT AS n FROM documents WHERE lang = 'en' GROUP BY source")
+@plans.add("q047_mentions", "SELECT source, lang, sum(regexp_matches(lower(text), '(^|[^\\w])the([^\\w]|$)')::INT)::BIGINT AS n FROM documents GROUP BY 1, 2")
 def mentions(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").groupBy("source").agg(F.sum(t.mentions(F.col("text"), F.lit("the")).cast("long")).alias("n"))
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.sum(t.mentions(F.col("text"), F.lit("the")).cast("long")).alias("n"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gatewright.plans import corpus, decide, learn, measure, more
+from gatewright.plans import cascade, corpus, decide, dialogue, learn, measure, more, reports, scans
 
-MODULES = (corpus, decide, learn, measure, more)
+MODULES = (cascade, corpus, decide, dialogue, learn, measure, more, reports, scans)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
