@@ -84,6 +84,21 @@ def summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *[np.add.reduceat(w[order], first) for w in weights]
 
 
+class Sums:
+    """Keys with weights, added array by array; no more is held than a few times the distinct keys."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, _U), np.empty(0, np.int64))]
+
+    def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        self.held.append((keys, weights))
+        if sum(len(k) for k, _ in self.held[1:]) > max(1_000_000, len(self.held[0][0])):
+            self.held = [self.total()]
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        return summed(*map(np.concatenate, zip(*self.held, strict=True)))
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
@@ -265,21 +280,20 @@ def _stats(buckets: int) -> Callable[[pa.Table], pa.Table]:
         """A group's codes and words with their counts in training documents, cut into buckets."""
         group = rows.column("group")[0].as_py()
         learned = ~rows.column("held_out").to_numpy(zero_copy_only=False)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        words: list[tuple[np.ndarray, np.ndarray]] = []
+        found, words = Sums(), Sums()
         for at, texts in _chunks(rows.column("text")):
             codes, sizes = text_codes(texts)
             own = np.repeat(learned[at], sizes)
             for part, n in ((codes[own], 1), (codes[~own], 0)):
                 c, w = distinct(part)
-                found.append((c, w * n))
+                found.add(c, w * n)
             for want in (True, False):
                 c, w = distinct(word_hashes([x for k, t in zip(at, texts, strict=True) if learned[k] == want for x in t]))
-                words.append((c, w * int(want)))
-        codes, counts = summed(*map(np.concatenate, zip(*found, strict=True)))
+                words.add(c, w * int(want))
+        codes, counts = found.total()
         trie, n = with_suffixes(codes[counts > 0], counts[counts > 0])
         keys, n, asked = summed(np.concatenate([trie, codes]), np.concatenate([n, np.zeros(len(codes), np.int64)]), np.concatenate([np.zeros(len(trie), np.int8), np.ones(len(codes), np.int8)]))
-        hashes, times = summed(*map(np.concatenate, zip(*words, strict=True)))
+        hashes, times = words.total()
         out: dict[str, list] = {c: [] for c in ("kind", "bucket", "keys", "counts", "asked")}
         # codes of one context in one bucket
         for kind, k, w, a, spread in ((CODES, keys, n, asked, mix(keys >> _U(_LEN_SHIFT))), (WORDS, hashes, times, np.ones(len(hashes), np.int8), hashes)):
