@@ -8,6 +8,10 @@ together, and taken whole when even its furthest points are near enough; what is
 double precision, so the pairs are exact. A pair of chunks returns link counts and the edges of a spanning forest, so
 a large group of near copies yields rows in proportion to its size, not to its square.
 
+Pairs at the threshold itself are linked if the cosine in double precision is not below it; equal cosines need no other
+rule. In many dimensions random vectors are all about equally far apart, and no bound of a tree prunes there: then pairs of
+chunks are compared point by point, and the work grows with the square of the distinct vectors.
+
 Equal vectors are one class that counts as often as it occurs. Vectors that are null, empty, zero or hold a null or
 non-finite component link with nothing; vectors of unlike lengths aren't linked. Repeated ids stay rows of their own. An empty table
 gives no rows. Extra columns are left alone.

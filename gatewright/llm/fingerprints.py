@@ -8,7 +8,10 @@ row's arrays: nothing is exploded or shuffled.
 
 A text with 1 to 3 tokens has one entry, the hash of all of them; with fewer than 8 k-grams, the smallest of all.
 Null, empty and blank texts have no entries; likeness is the Jaccard coefficient of the entries' hashes, 1 for two
-empty ones. Texts that differ only in case or white space have equal fingerprints. Extra columns are left alone.
+empty ones. Texts that differ only in case or white space have equal fingerprints. Very long texts are one array of their
+tokens in the row that holds them. Rows with equal keys follow each other by their text; an empty table gives no rows.
+Extra columns are left alone, but for those named like the columns that are made (`out` of winnow, next_<column> of
+with_next), which are replaced.
 """
 
 from __future__ import annotations
@@ -65,7 +68,7 @@ def winnow(df: DataFrame, text: str = "text", out: str = "entries", k: int = 4,
         col = next(free)
         df = _shifted(df, least, col, step, _PICK)
         least, step = col, step * 2
-    few = f"array(aggregate({packed}, element_at({packed}, 1), {_PICK.replace('(a, b)', '(a, b)')}))"
+    few = f"array(aggregate({packed}, element_at({packed}, 1), {_PICK}))"
     df = df.withColumn(out, F.expr(f"case when size({least}) > 0 then array_distinct({least}) when size({packed}) > 0 then {few} else {packed} end"))
     return df.drop(*names)
 

@@ -5,12 +5,15 @@ The kernel of two texts is the cosine of their blended-spectrum presence vectors
 features K(x, Z) (K(Z, Z) + eps)^-1/2, and one ridge regression per language is fitted on them (kernel ridge regression
 in the Nyström space). Prediction is two matrix products per batch.
 
-Training uses whole texts of at most `per_language` rows of each of at most `most_languages` languages (the most
-frequent ones): the rows with the smallest digests of their key. Both bounds are parameters. Prediction reads every
-whole text.
+N-grams are hashed into a table of PLACES bits, so the spectrum is that of the hashes; on whole documents of some
+thousand distinct n-grams few share a place.
+
+Training uses whole texts of every language: at most `per_language` rows of each, and at most about `most_rows` in all
+(one row of each language at least): the rows with the smallest digests of their key. Both bounds are parameters.
+Prediction reads every whole text.
 
 Null or letterless texts are `und` with score 0. Rows whose label is null, and texts that are null or letterless, are
-not learned from. Without any row to learn from every text is `und`. Ties go to the alphabetically first language.
+not learned from. Very long texts are hashed a part at a time, with the n-grams across the parts' borders. Without any row to learn from every text is `und`. Ties go to the alphabetically first language.
 Repeated rows get equal predictions; extra columns are left alone.
 """
 
@@ -107,13 +110,15 @@ def fit(found: list[tuple[np.ndarray, str]], landmarks: int, ridge: float = 1e-4
     return model
 
 
-def sample(df: DataFrame, key: str, text: str, label: str, learn: Column, per_language: int, most_languages: int) -> list[tuple[np.ndarray, str]]:
-    """Presence vectors and labels to learn from: at most per_language * most_languages, PLACES bits each. Whole texts
-    are read, and only of the rows whose digest is among the smallest of their language."""
+def sample(df: DataFrame, key: str, text: str, label: str, learn: Column, per_language: int, most_rows: int) -> list[tuple[np.ndarray, str]]:
+    """Presence vectors and labels to learn from, PLACES bits each: of every language the rows with the smallest digests,
+    at most per_language, and fewer where that times the languages is more than most_rows. Whole texts are read, and only
+    of the rows whose digest is among the smallest of their language."""
     usable = df.where(learn & F.col(label).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("string").alias("y"))
-    counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().orderBy(F.desc("count"), "y").limit(most_languages).collect()}
+    counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}  # one row a language
     if not counts:
         return []
+    per_language = max(1, min(per_language, most_rows // len(counts)))
     digest = F.md5(F.coalesce(F.col("k").cast("string"), F.lit("")))
     u = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, 4.0 * per_language / n)])
@@ -170,8 +175,8 @@ def predict(df: DataFrame, key: str, text: str, model: KernelModel, lang: str =
     return df.mapInArrow(run, schema)
 
 
-def train(df: DataFrame, key: str, text: str, label: str, learn: Column, per_language: int = 250, landmarks: int = 160, most_languages: int = 200) -> KernelModel:
-    return fit(sample(df, key, text, label, learn, per_language, most_languages), landmarks)
+def train(df: DataFrame, key: str, text: str, label: str, learn: Column, per_language: int = 250, landmarks: int = 160, most_rows: int = 50_000) -> KernelModel:
+    return fit(sample(df, key, text, label, learn, per_language, most_rows), landmarks)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ No piece of a model this operator takes holds a space mark after another charact
 the ids of words already seen are reused from a cache of bounded size. Characters that are no piece become their
 UTF-8 bytes' pieces. Whole texts are encoded, without begin or end ids and without sampling.
 
-Null counts as empty text, which has no ids. Repeated rows and extra columns are fine.
+Null counts as empty text, which has no ids. Very long texts are encoded whole, word by word, one text at a time; an empty
+table gives no rows. Repeated rows and extra columns are fine.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ child draws ln(u) / weight with u hashed from (level, child, key) and the larges
 proportion to its subtree's weight. A draw depends on its own child alone: changing a weight moves rows only between
 that subtree and its siblings. A new shard that opens its own region takes rows from everywhere and only into itself.
 
-Keys: any type, compared by their text; null counts as empty text. Repeated rows land together. Extra columns stay.
+Keys: any type, compared by their text; null counts as empty text. Repeated rows land together. Texts play no part, however
+long. Extra columns stay; columns of df named like the asked shard and slot columns are replaced. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -22,10 +24,16 @@ SHARDS = 8
 
 
 def topology(shards: int) -> Topology:
-    """Racks of two shards, regions of two racks, equal weights. Shard 8 of 9 opens a region of its own."""
+    """Racks of two shards, regions of two racks, equal weights."""
     return [(s // 4, s // 2, s, 1.0) for s in range(shards)]
 
 
+def grown(shape: Topology, weight: float = 1.0) -> Topology:
+    """shape with one more shard, which opens a region and a rack of its own: rows move into it and nowhere else, whatever
+    the shape. (topology(n + 1) does so only where n is a multiple of four.)"""
+    return [*shape, (max(r for r, *_ in shape) + 1, max(k for _, k, *_ in shape) + 1, max(s for _, _, s, _ in shape) + 1, weight)]
+
+
 def _draw(key: Column, level: str, child: int, weight: float) -> Column:
     digest = F.md5(F.concat(F.lit(f"{level}{child}|"), key))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
@@ -72,6 +80,7 @@ def assign(df: DataFrame, key: str, shape: Topology, shard: str = "shard", slot:
     Slots are numbered in 256 parts of each shard by a digest of the key, offset by the counts of the parts before
     (at most 256 rows a shard), so that no shard is ever gathered in one task.
     """
+    df = df.drop(*[c for c in (shard, slot, "__part", "__place", "__before") if c and c != key and c not in ties])
     out = df.withColumn(shard, shard_of(F.col(key), shape))
     if slot is None:
         return out
@@ -92,7 +101,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
     out = assign(docs, "doc_id", topology(SHARDS), slot="slot", ties=("text_crc32", "size"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("doc_id"), topology(SHARDS + 1)).alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("doc_id"), grown(topology(SHARDS))).alias("grown_shard"))
 
 
 QUERIES = {"op7_sharding": op7_sharding}

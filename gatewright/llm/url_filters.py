@@ -10,7 +10,9 @@ Sweeps run over distinct hosts and distinct (host, path) pairs, in ranges of the
 ranges opens in each of them, so no range needs another one, and a rule host with many urls is salted by its count.
 
 Null urls and urls without "://" have an empty host and path and fit no rule. A url without a path fits no rule with
-one. Equal rules with unlike verdicts: block wins. Empty rule tables, repeated urls and extra columns are fine.
+one. Ports and user names are a part of the host, so such hosts fit no rule that doesn't name them. Very long urls are
+judged whole. Equal rules with unlike verdicts: block wins. Empty tables of urls or rules, repeated urls and extra columns
+are fine.
 """
 
 from __future__ import annotations
