@@ -1,4 +1,4 @@
-"""The queries of this subpackage."""
+"""The queries of this subpackage. The pipeline's are in corpus_pipeline.py at the repository's top."""
 
 from __future__ import annotations
 
@@ -8,18 +8,14 @@ MODULES = (embedding_dedup, fingerprints, language_id, lm_scoring, near_dedup, p
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    out: dict = {"pipeline": corpus_pipeline.run}
+    out: dict = {}
     for module in MODULES:
         out |= module.QUERIES
     return out
 
 
 def oracle_sql() -> dict:
-    import corpus_pipeline
-
-    out: dict = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    out: dict = {}
     for module in MODULES:
         out |= getattr(module, "ORACLE_SQL", {})
     return out

@@ -143,5 +143,19 @@ def test_registered_names():
     from gatewright.llm import registry
 
     names = registry.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_pipeline_takes_null_keys_extra_columns_and_empty_tables(spark, odd, empty):
+    import corpus_pipeline as p
+
+    docs = odd.withColumn("another", odd.doc_id)
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, SF_DIR).cache()
+    rows = docs.collect()
+    assert None in {r["doc_id"] for r in rows} and "another" not in docs.columns
+    none = empty
+    for _, stage in p.STAGES:
+        none = stage(spark, none, SF_DIR)
+    assert none.count() == 0

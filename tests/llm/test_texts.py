@@ -353,6 +353,148 @@ def test_shards_of_odd_rows(odd, empty):
     assert sharding.assign(empty, "doc_id", sharding.topology(8), slot="slot").count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 8, 9, 10])
+def test_any_shape_grows_into_the_new_shard_alone(spark, shards):
+    shape = sharding.topology(shards)
+    rows = spark.range(3000).select(sharding.shard_of(F.col("id"), shape).alias("a"), sharding.shard_of(F.col("id"), sharding.grown(shape)).alias("b")).collect()
+    assert all(r["a"] == r["b"] or r["b"] == shards for r in rows) and any(r["b"] == shards for r in rows)
+
+
+def test_clashing_columns_are_replaced(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", [1], "x", 7, 8, 9), (2, "g h", [2], "y", 7, 8, 9)], "doc_id long, text string, entries array<int>, next_text string, shard int, slot int, __part int")
+    assert len(fingerprints.winnow(rows).where("doc_id = 1").first()["entries"]) == 1
+    assert {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(rows, "doc_id", ["text"]).collect()} == {2: "a b c d e f", 1: "g h"}
+    got = sharding.assign(rows, "doc_id", sharding.topology(8), slot="slot").collect()
+    assert all(0 <= r["shard"] < 8 and r["slot"] in (0, 1) for r in got)
+
+
+def test_fingerprint_query_equals_brute_force(spark):
+    """Every column of op6 from the definition: edited texts, fingerprints by winnowing, Jaccard coefficients."""
+    import re
+
+    import xxhash
+
+    docs = documents(spark)
+    rows = {r["doc_id"]: r for r in fingerprints.op6_winnowing(spark, SF_DIR).collect()}
+    order = sorted(docs, reverse=True)
+    edited = {}
+    for k, n in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(docs[k]) // 2
+        edited[k] = docs[k][: len(docs[k]) - half] + docs[n][:half]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    word = lambda b: signed(xxhash.xxh64_intdigest(b, 42))
+
+    def pair(a, b):
+        first = xxhash.xxh64_intdigest((a & (2**64 - 1)).to_bytes(8, "little"), 42)
+        return signed(xxhash.xxh64_intdigest((b & (2**64 - 1)).to_bytes(8, "little"), first))
+
+    low = (1 << fingerprints.POSITION_BITS) - 1
+
+    def entries(text):
+        hashes = [word(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]{1,24}", text.lower())]
+        two = [pair(a, b) for a, b in zip(hashes, hashes[1:], strict=False)]
+        grams = [pair(a, b) for a, b in zip(two, two[2:], strict=False)]
+        if not grams and hashes:
+            s = 0
+            for h in hashes:
+                s = pair(s, h)
+            grams = [s]
+        packed = [(g & ~low) | (i & low) for i, g in enumerate(grams)]
+        out = []
+        for i in range(max(len(packed) - 7, 1 if packed else 0)):
+            best = min(packed[i : i + 8], key=lambda e: (e >> fingerprints.POSITION_BITS, -(e & low)))
+            if best not in out:
+                out.append(best)
+        return out
+
+    def jaccard(a, b):
+        a, b = ({e >> fingerprints.POSITION_BITS for e in x} for x in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    own = {k: entries(t) for k, t in docs.items()}
+    for k, n in zip(order, [*order[1:], order[0]], strict=True):
+        r, e = rows[k], entries(edited[k])
+        spelt = lambda x: ",".join(f"{v & (2**64 - 1):X}" for v in x)
+        assert r["n_chars"] == len(docs[k]) and r["edited_sha256"] == hashlib.sha256(edited[k].encode()).hexdigest()
+        assert r["fingerprint"] == spelt(own[k]) and r["edited_fingerprint"] == spelt(e)
+        assert r["near_edited"] == pytest.approx(jaccard(own[k], e)) and r["near_next"] == pytest.approx(jaccard(own[k], own[n]))
+
+
+def test_packing_query_equals_the_library(spark):
+    """Ids, starts and gapless places of all documents of the smallest table."""
+    from tokenizers import Tokenizer
+
+    library, docs = Tokenizer.from_file(BPE), documents(spark)
+    rows = packing.op2_packing(spark, SF_DIR).collect()
+    per, fill = defaultdict(list), defaultdict(list)
+    for r in rows:
+        per[r["doc_id"]].append(r)
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+    total = 0
+    for k, t in docs.items():
+        ids, at = [*library.encode(t, add_special_tokens=False).ids, 2], 0
+        for i, r in enumerate(sorted(per[k], key=lambda r: r["piece"])):
+            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+            assert (r["piece"], r["start"], r["ids_crc32"]) == (i, at, zlib.crc32(part.tobytes()))
+            at += r["length"]
+        assert at == len(ids) and (len(per[k]) == 1) == (len(ids) <= 1024)
+        total += len(ids)
+    for places in fill.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    assert len(fill) <= -(-total // 1024) + 2
+
+
+def test_passage_rows_equal_brute_force(spark):
+    """On all rows of the smallest table: every run of 47 words that stands at an earlier place too, outside lines that go,
+    is covered by the spans, and every word of a span lies in a window of 24 words that another place has."""
+    import re
+
+    docs = documents(spark)
+    rows = passages.op5_passages(spark, SF_DIR).collect()
+    gone, spans = defaultdict(list), defaultdict(list)
+    for r in rows:
+        if r["kind"] == "paragraph" and not r["kept"]:
+            gone[r["doc_id"]].append((r["start"], r["end"]))
+        elif r["kind"] == "passage":
+            assert r["component_id"] == -1 and not r["kept"]
+            spans[r["doc_id"]].append((r["start"], r["end"]))
+    words = {}
+    for k, t in docs.items():
+        out = []
+        for w in re.finditer(r"[^\x20\x09-\x0D]+", t):
+            lost = any(a <= w.start() and w.end() <= b for a, b in gone[k])
+            out.append((None if lost else w.group().encode().lower(), w.start(), w.end()))
+        words[k] = out
+
+    def grams(size):
+        for k in sorted(words):
+            w = words[k]
+            for i in range(len(w) - size + 1):
+                part = [x[0] for x in w[i : i + size]]
+                if None not in part:
+                    yield b" ".join(part), k, i
+
+    seen = set()
+    for g, k, i in grams(2 * passages.WINDOW - 1):
+        if g in seen:
+            a, b = words[k][i][1], words[k][i + 2 * passages.WINDOW - 2][2]
+            assert any(x <= a and b <= y for x, y in spans[k]) or any(words[k][j][0] == words[k][i][0] for j in range(max(0, i - 60), i)), (k, i)
+        seen.add(g)
+    times = Counter(g for g, *_ in grams(passages.WINDOW))
+    covered = defaultdict(set)
+    for g, k, i in grams(passages.WINDOW):
+        if times[g] > 1:
+            covered[k].update(range(i, i + passages.WINDOW))
+    for k, found in spans.items():
+        for n, w in enumerate(words[k]):
+            if any(a <= w[1] and w[2] <= b for a, b in found):
+                assert n in covered[k]
+
+
 def test_a_new_shard_takes_rows_only_into_itself(spark):
     rows = spark.range(4000).select(sharding.shard_of(F.col("id"), sharding.topology(8)).alias("a"), sharding.shard_of(F.col("id"), sharding.topology(9)).alias("b")).collect()
     assert all(r["a"] == r["b"] or r["b"] == 8 for r in rows)
