@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: language ID, near-deduplication, passage deduplication, packing."""
+"""From raw documents to packed sequences: language ID, near-deduplication, passage deduplication, packing.
+
+Stages take and give the columns of documents; other columns are dropped by the first one. Rows without a doc_id go through
+like others; they count as one key. An empty table goes through all stages and gives no rows.
+"""
 
 from __future__ import annotations
 
