@@ -150,11 +150,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 class WordCache:
-    """word -> make(word), keeping the words of the last two generations. prepare: puts the words of a text that are not
-    in the last generation there, all at once, in place of make."""
+    """word -> make(word), keeping the words of the last two generations."""
 
-    def __init__(self, make: Callable[[str], object] | None, size: int = CACHED_WORDS, prepare: Callable[[set], None] | None = None):
-        self.make, self.size, self.prepare, self.new, self.old = make, size, prepare, {}, {}
+    def __init__(self, make: Callable[[str], object], size: int = CACHED_WORDS):
+        self.make, self.size, self.new, self.old = make, size, {}, {}
 
     def one(self, word: str) -> object:
         found = self.new.get(word)
@@ -168,14 +167,9 @@ class WordCache:
         out = list(map(new.get, words))
         missing = [k for k, v in enumerate(out) if v is None]
         if missing:
-            if self.prepare:
-                self.prepare({words[k] for k in missing})
-                for k in missing:
-                    out[k] = new[words[k]]
-            else:
-                one = self.one
-                for k in missing:
-                    out[k] = one(words[k])
+            one = self.one
+            for k in missing:
+                out[k] = one(words[k])
             if len(new) > self.size:
                 self.old, self.new = new, {}
         return out

@@ -13,6 +13,7 @@ are left alone. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import WordCache, cut, table
+from gatewright.llm.common import cut, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -34,92 +35,62 @@ BLOCK, ISLANDS, POPULATION, CHILDREN, EPOCHS = 4096, 3, 4, 24, 2
 #: A bin that lacks at most this many tokens is kept as it is.
 SLACK = 4
 
-#: White space around a space or line end, where the tokenizer's words don't end there.
-_ODD = re.compile(r"\s[ \n]\s|\s[ \n]\Z|\n[^\S \n]")
-#: Characters that often follow a word; after a letter or digit they are a word of their own for the tokenizer.
-TAILS = ".,;:!?*&#$%|"
-#: Words that a worker keeps: two generations of this many.
-CACHED = 600_000
-#: Characters that Python or the tokenizer takes for white space, but for the blank and the line end.
-_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-_PLAIN = re.compile(r" ?\S+")
+#: The words that a byte-level tokenizer with its own pattern takes a text apart into.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters outside long-settled blocks, which two libraries may class by different Unicode versions.
+_RARE = re.compile("[^\\x00-\\u052f\\u1e00-\\u1eff\\u2000-\\u2063\\u20a0-\\u20bf\\u2190-\\u22ff\\u2500-\\u257f\\u3000-\\u3096\\u30a0-\\u30fe\\u4e00-\\u9fa5\\uac00-\\ud7a3]")
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others, in
+    order, for those from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
 
 
 class BytePairIds:
-    """Ids of texts as little-endian unsigned 32-bit numbers. The tokenizer's words end before a single blank or line
-    end and after the letters before punctuation, so such parts are encoded apart and kept in a cache; texts with odd
-    white space are encoded whole."""
+    """Ids of texts as little-endian unsigned 32-bit numbers, those of the tokenizers library. For a plain byte-level
+    vocabulary whose merges give all its pieces, the merges are applied by a faster library; texts with special tokens or
+    rare characters, and other vocabularies, are encoded by the tokenizers library itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = WordCache(None, CACHED, self._learn)
-        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            self.fast, self.ids_of = self._fast(json.load(file))
+
+    def _fast(self, spec: dict) -> tuple[object, np.ndarray] | tuple[None, None]:
+        import tiktoken
+
+        model, words = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space") and not spec.get("normalizer")
+        if not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None, None
+        byte_of = _byte_of()
+        pieces = {bytes(byte_of[c] for c in piece): k for piece, k in model["vocab"].items() if piece not in self.special}
+        rank = {bytes([b]): k for k, b in enumerate(byte_of.values())}
+        for merge in model["merges"]:
+            a, b = merge if isinstance(merge, list) else merge.split(" ")
+            rank.setdefault(bytes(byte_of[c] for c in a + b), len(rank))
+        if set(rank) != set(pieces):
+            return None, None
+        ids = np.zeros(len(rank), "<u4")
+        for piece, k in rank.items():
+            ids[k] = pieces[piece]
+        return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=rank, special_tokens={}), ids
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, lack: set[str]) -> None:
-        """Puts words that the cache's last generation lacks there. What no generation has is encoded in one call, as
-        lines of one text: the tokenizer's words end at a single line end, and no other token is the line end's."""
-        new, old = self.cache.new, self.cache.old
-        joined, wanted = [], set()
-        for w in lack:
-            if (found := old.get(w)) is not None:
-                new[w] = found
-                continue
-            stem = w.rstrip(TAILS)
-            if len(stem) == len(w) or not stem or not stem[-1].isalnum():
-                wanted.add(w)
-                continue
-            tail = w[len(stem) :]
-            joined.append((w, stem, tail))
-            for part in (stem, tail):
-                if part not in new:
-                    if (found := old.get(part)) is not None:
-                        new[part] = found
-                    else:
-                        wanted.add(part)
-        plain = [w for w in wanted if _PLAIN.fullmatch(w)]
-        if plain:
-            ids = np.array(self.tokenizer.encode("\n".join(plain), add_special_tokens=False).ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
-            data, at = ids.tobytes(), 0
-            for w, end in zip(plain, ends, strict=True):
-                new[w] = data[4 * at : 4 * end]
-                at = end + 1
-        if len(plain) < len(wanted):
-            for w in wanted:
-                if w not in new:
-                    new[w] = self.whole(w)
-        for w, stem, tail in joined:
-            new[w] = new[stem] + new[tail]
-
-    def _odd(self, text: str) -> bool:
-        """Whether words don't end at every blank and line end. Where neither stands beside another and no other white
-        space occurs, they do."""
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in _OTHER_SPACES):
-            return bool(_ODD.search(text))
-        return False
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if self._odd(text) or any(t in text for t in self.special):
+        if self.fast is None or any(t in text for t in self.special) or not (text.isascii() or not _RARE.search(text)):
             return self.whole(text)
-        words: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                words.append("\n")
-            first, *rest = line.split(" ")
-            # without its blank, so that a word at the start of a line and elsewhere are different keys
-            if first:
-                words.append(first)
-            words += [" " + w for w in rest]
-        return b"".join(self.cache.all(words))
+        return self.ids_of[self.fast.encode_to_numpy(text, disallowed_special=())].tobytes()
 
 
 @lru_cache(maxsize=2)

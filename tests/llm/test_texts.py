@@ -147,6 +147,10 @@ def test_token_ids_are_the_librarys(odd):
 
     own, library = packing.BytePairIds(BPE), Tokenizer.from_file(BPE)
     texts = [t or "" for _, t in TEXTS] + ["a  b", " a", "a ", "a\n b", "a \n\tb", "x.\n\n\ny", "it's, they'll", "a  b", "<|endoftext|> a", "..a.. b,c", "²½ x²"]
+    rng = np.random.default_rng(8)
+    kinds = ["a", "B", "7", "²", "é", "ß", "Ж", "ا", "क", "ก", "日", "か", "한", "\U0001d400", "\U0001f642", "\u0085", "\u00a0", "\u2003", "\u200b", "\u2028", "\u3000", "\ufeff", "\x00", "\x1c", "\t", "\n", "\r", " ", " ", "'", "'s", "'ll", ".", "-", "\u0301", "\ua7d0", "\U00011f04", "\u1c89"]
+    texts += ["".join(rng.choice(kinds, rng.integers(1, 30))) for _ in range(3000)] + ["ab" * 5000, "=" * 3000, " " * 2000 + "x"]
+    assert own.fast is not None
     for t in texts:
         assert np.frombuffer(own.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
