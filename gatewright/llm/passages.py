@@ -198,7 +198,7 @@ def repeated_windows(df: DataFrame, key: str, text: str, lost: DataFrame, size:
     kept = cut(every.where(free).select(key, "digest", "at", "window"), "windows")
     # few windows come more than once; only theirs are first places looked for
     shared = cut(kept.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "shared")
-    held = cut(kept.join(shared, "window"), "held")
+    held = cut(maybe_among(kept, "window", shared).join(shared, "window"), "held")
     release(spark, kept, shared)
     place = F.struct(F.col(key).alias("key"), "digest", "at")
     seeds = held.join(cut(held.groupBy("window").agg(F.min(place).alias("first")), "first"), "window").withColumn("late", place != F.col("first")).drop("first")
