@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gatewright.plans import cascade, corpus, decide, dialogue, learn, measure, more, reports, scans
+from gatewright.plans import cascade, corpus, decide, dialogue, learn, measure, more, reports, scans, units
 
-MODULES = (cascade, corpus, decide, dialogue, learn, measure, more, reports, scans)
+MODULES = (cascade, corpus, decide, dialogue, learn, measure, more, reports, scans, units)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}

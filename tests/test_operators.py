@@ -242,3 +242,68 @@ def test_grouped_documents(spark):
     """Equal texts never stand on both sides of a fold."""
     x = f.grouped_fold(doc_classes(spark, SF_DIR), "grp", "gold", 5, 7)
     assert f.leaks(x, "grp", "fold").isEmpty()
+
+
+def test_units_equal_brute_force(spark):
+    """Sentences packed with carry, on all documents."""
+    import hashlib
+    import re
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    got = defaultdict(list)
+    for r in sorted(registry.QUERIES["q279_units"](spark, SF_DIR).collect(), key=lambda r: (r["doc_id"], r["unit"])):
+        got[r["doc_id"]].append(r["h"])
+    for k, text in docs.items():
+        units, cur = [], ""
+        for s in (x.strip(" ") for x in re.split(r"[.!?;\n]", text)):
+            if not s:
+                continue
+            if cur and len(cur) + 1 + len(s) > 300:
+                units.append(cur)
+                cur = s
+            else:
+                cur = f"{cur} {s}" if cur else s
+            if len(cur) >= 80:
+                units.append(cur)
+                cur = ""
+        if cur:
+            units = [*units[:-1], f"{units[-1]} {cur}"] if units else [cur]
+        assert got[k] == [hashlib.md5(u.encode()).hexdigest() for u in units]
+
+
+def test_reader_pick_equals_brute_force(spark):
+    import re
+
+    from gatewright.plans.units import _QUERY
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()}
+    want = set()
+    for source in {r["source"] for r in docs.values()}:
+        own = [k for k, r in docs.items() if r["source"] == source and k in vectors]
+        hits = {k: sum(bool(re.search(rf"(?<!\w){w}(?!\w)", docs[k]["text"].lower(), re.ASCII)) for w in ("the", "of", "der", "que")) for k in own}
+        words = [k for k in sorted(own, key=lambda k: (-hits[k], k))[:2] if hits[k]]
+        near = sorted((k for k in own if k not in words), key=lambda k: (-round(sum(a * b for a, b in zip(vectors[k], _QUERY, strict=True)), 9), k))[:2]
+        want |= {(source, k, "words") for k in words} | {(source, k, "vector") for k in near}
+    assert {(r["source"], r["doc_id"], r["by"]) for r in registry.QUERIES["q091_reader_pick"](spark, SF_DIR).collect()} == want
+
+
+def test_bank_and_soft_targets(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from gatewright.ml import models
+
+    rows = spark.createDataFrame([(i, [float(i % 2), 1.0 - i % 2], [0.9, 0.1] if i % 2 else [0.1, 0.9]) for i in range(20)], "item int, v array<double>, p array<double>")
+    model = models.soft_targets(rows, "v", "p", 0.5, 100.0)
+    bank = models.Bank(str(tmp_path))
+    bank.put("student", PipelineModel([model]))
+    got = {r["item"]: r["prediction"] for r in bank.get("student").transform(models._vectors(rows, "v")).collect()}
+    assert bank.get("student") is bank.get("student")
+    assert all(got[i] == (0.0 if i % 2 else 1.0) for i in range(20))
+
+
+def test_routers_gain(spark):
+    """The learned gates are better than either arm alone."""
+    x = pair_log(spark, SF_DIR).agg(F.avg("free_ok").alias("f"), F.avg("llm_ok").alias("l")).first()
+    got = registry.QUERIES["q260_router_gate"](spark, SF_DIR).first()
+    assert got["accuracy"] > max(x["f"], x["l"]) - 0.02
