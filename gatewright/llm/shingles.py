@@ -431,9 +431,9 @@ def linked_classes(every: DataFrame, plan: Plan, sets_of: Callable[[DataFrame],
 
     Buckets are found a few bands at a time, so that only a part of all (class, band) rows is shuffled at once, and those
     of one class are dropped before anything else moves. Each class of a bucket is compared with its leader, the least
-    class, and links are merged. Buckets that still hold several components are compared in blocks of bounded size: all
-    classes outside a bucket's largest component with all its classes, so no link is lost; a block gives only links that
-    join components.
+    class, and links are merged. Buckets whose other classes still are in several components are compared in blocks of
+    bounded size: all classes outside a bucket's largest component with all its classes, so no link is lost; a block gives
+    only links that join components.
     """
     spark = every.sparkSession
     found: DataFrame | None = None
@@ -459,7 +459,8 @@ def linked_classes(every: DataFrame, plan: Plan, sets_of: Callable[[DataFrame],
     links = cut(exact(survivors, sets, plan), "links")
     groups = cut(components(links), "components")
 
-    rows = found.select("bucket", "cls", "n").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", F.col("cls"))).drop("component")
+    # a bucket's leader has met all of its classes already
+    rows = found.where("cls <> lead").select("bucket", "cls", "n").join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("g", F.coalesce("component", F.col("cls"))).drop("component")
     by_g = rows.groupBy("bucket", "g").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     mixed = by_g.groupBy("bucket").agg(F.max(F.struct("c", "s", "g")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("kinds")).where("kinds > 1")
     blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK_CLASSES), F.ceil(s / BLOCK_SHINGLES)).cast("int")
