@@ -13,7 +13,11 @@ def test_matches_sql(spark, name):
     assert spark_rows(registry.QUERIES[name](spark, SF_DIR)) == duck_rows(registry.ORACLE_SQL[name], SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
+#: Queries that test_operators.py compares with brute force or with what they must beat.
+ELSEWHERE = {"q090_clause_pick", "q091_reader_pick", "q206_bca_bootstrap", "q217_clopper_pearson", "q219_mcnemar_chi2", "q222_tango", "q260_router_gate", "q263_class_router", "q279_units", "q284_text_classifier"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - ELSEWHERE))
 def test_runs(spark, name):
     df = registry.QUERIES[name](spark, SF_DIR)
     assert df.columns and df.count() > 0
