@@ -11,7 +11,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words everywhere in this subpackage: space and \t \n \v \f \r.
@@ -132,11 +132,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = _starred(e, low)
     before = last = None
     while True:
-        seen = Observation()
-        e = cut(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "star")
+        e = cut(e, "star")
         if last is not None:
             release(edges.sparkSession, last)
-        now, last = (seen.get["n"], seen.get["h"]), e
+        # read from the table, not observed: an Observation stays in the session, and plans that hold the session can't be sent then
+        now, last = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()), e
         if now == before:
             break
         before = now
