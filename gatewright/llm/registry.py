@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gatewright.llm import decontamination, embedding_dedup, fingerprints, language_id, lm_scoring, near_dedup, packing, passages, pieces, sharding, url_filters
+from gatewright.llm import decontamination, embedding_dedup, filter_audit, fingerprints, importance, language_id, lm_scoring, near_dedup, packing, passages, pieces, sharding, url_filters
 
-MODULES = (decontamination, embedding_dedup, fingerprints, language_id, lm_scoring, near_dedup, packing, passages, pieces, sharding, url_filters)
+MODULES = (decontamination, embedding_dedup, filter_audit, fingerprints, importance, language_id, lm_scoring, near_dedup, packing, passages, pieces, sharding, url_filters)
 
 
 def queries() -> dict:
