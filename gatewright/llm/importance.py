@@ -140,7 +140,7 @@ def _postings(df: DataFrame, key: str, text: str, target: bool, buckets: int, ra
 def _contribute(width: int, buckets: int):
     def contribute(posted: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         if not len(posted):
-            return pd.DataFrame({"block": [], "target": [], "adds": []})
+            return pd.DataFrame({"block": [], "target": [], "adds": []}, dtype=object)
         s, t = np.zeros(width), np.zeros(width)
         s[counts["bucket"]], t[counts["bucket"]] = counts["s"], counts["t"]
         every = counts.iloc[0]
