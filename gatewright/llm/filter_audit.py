@@ -31,6 +31,9 @@ from gatewright.llm.common import cut, table
 #: Bytes of texts that the first pass holds before it hands its chains on.
 HELD_BYTES = 32 << 20
 
+#: Rows of the input for one partition of fingerprints; there are as many partitions as the input has, at least.
+PARTITION_ROWS = 20_000
+
 _UPPER, _MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", re.compile(rb"[#$%&*|]")
 REPEATED = "E"
 FILTERS = "ABCD" + REPEATED
@@ -117,8 +120,9 @@ def _settled(rows: Iterator[tuple[int, tuple]], repeated: int) -> Iterator[tuple
 def masks(df: DataFrame, key: str, text: str, part: Column, mask: Callable[[bytes], int] = failures, repeated: int = 1 << FILTERS.index(REPEATED), hold: int = HELD_BYTES) -> DataFrame:
     """A row for every row of df: key, part (a string) and mask, the bits of the filters that it fails: those that `mask`
     finds in the text, and `repeated` if a smaller id has the same text."""
+    wanted = -(-df.count() // PARTITION_ROWS)
     rows: RDD = df.select(key, text, F.coalesce(part, F.lit("")).alias("__part")).rdd.map(tuple)
-    parts = max(rows.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, wanted, rows.getNumPartitions())
     routed = rows.mapPartitions(lambda x: _local(x, mask, hold)).repartitionAndSortWithinPartitions(parts, lambda fp: fp)
     schema = StructType([StructField(key, df.schema[key].dataType), StructField("part", StringType()), StructField("mask", IntegerType())])
     return df.sparkSession.createDataFrame(routed.mapPartitions(lambda x: _settled(x, repeated)), schema, verifySchema=False)
@@ -170,11 +174,11 @@ def interactions(marked: DataFrame, letters: str) -> DataFrame:
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = cut(masks(table(spark, sf_dir, "documents"), "doc_id", "text", F.col("lang")), "masks")
+    marked = masks(table(spark, sf_dir, "documents"), "doc_id", "text", F.col("lang"))
     yes = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)))
     labels = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy("doc_id").agg(yes("quality").alias("good"), yes("toxic").alias("toxic"))
     known = marked.join(labels, "doc_id", "left").select("part", "mask", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
-    return interactions(known, FILTERS)
+    return interactions(cut(known, "masks"), FILTERS)
 
 
 QUERIES = {"op13_filter_audit": op13_filter_audit}
