@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatewright.operators import ordered
+from gatewright.sources.scratch import cut
+
 
 def class_gate(df: DataFrame, by: list[str], fold: str, pred: str, free_ok: str, llm_ok: str, margin: float = 0.0) -> DataFrame:
     """df with `escalate`: on the items of other folds that the cheap model gave this class, the expensive model's
@@ -28,15 +31,19 @@ def outcome(df: DataFrame, by: list[str], gold: str, free_pred: str, llm_pred: s
 
 def confidence_cascade(df: DataFrame, by: list[str], fold: str, conf: str, share: str) -> DataFrame:
     """df with `escalate`: confidence at most the quantile (linear interpolation) of the other folds' confidences at
-    the fold's share (column `share`, one value a fold). Ties may spend more than the share."""
-    folds = df.select(*by, fold, share).distinct()
-    pairs = folds.select(*by, F.col(fold).alias("__own"), share).join(df.select(*by, F.col(fold).alias("__of"), F.col(conf).alias("__c")), by) if by else folds.select(F.col(fold).alias("__own"), share).crossJoin(df.select(F.col(fold).alias("__of"), F.col(conf).alias("__c")))
-    ranked = pairs.where("__own <> __of").withColumn("__k", F.row_number().over(Window.partitionBy(*by, "__own").orderBy("__c")) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*by, "__own")))
-    at = F.col(share) * (F.col("__n") - 1)
-    low, up = F.max(F.when(F.col("__k") == F.floor(at), F.col("__c"))), F.max(F.when(F.col("__k") == F.ceil(at), F.col("__c")))
-    part = F.max(at - F.floor(at))
-    cut = ranked.groupBy(*by, F.col("__own").alias(fold)).agg((low + (up - low) * part).alias("__t"))
-    return df.join(F.broadcast(cut), [*by, fold]).withColumn("escalate", F.col(conf) <= F.col("__t")).drop("__t")
+    the fold's share (column `share`, one value a fold). Ties may spend more than the share. Confidences are counted
+    once; a fold's place among the others' is its place among all less its place in its own fold."""
+    cells = df.groupBy(*by, fold, F.col(conf).alias("__c")).agg(F.count("*").alias("__m"))
+    shares = df.groupBy(*by, fold).agg(F.max(share).alias("__share"), F.count("*").alias("__own_n"))
+    total = shares.groupBy(*by).agg(F.sum("__own_n").alias("__n"))
+    aims = (shares.join(total, by) if by else shares.crossJoin(total)).withColumn("__n", F.col("__n") - F.col("__own_n")).withColumn("__at", F.col("__share") * (F.col("__n") - 1)).select(*by, F.col(fold).alias("__own"), "__at")
+    others = cells.join(F.broadcast(aims), by) if by else cells.crossJoin(F.broadcast(aims))  # a row a fold
+    run = ordered.cumulate(others.withColumn("__m", F.when(F.col(fold) == F.col("__own"), 0).otherwise(F.col("__m"))), [*by, "__own"], ["__c", fold], {"__hi": F.col("__m")})
+    held = lambda k: F.max(F.when((F.col("__hi") - F.col("__m") <= k) & (k < F.col("__hi")), F.col("__c")))
+    at = F.col("__at")
+    low, up, part = held(F.floor(at)), held(F.ceil(at)), F.max(at - F.floor(at))
+    least = run.groupBy(*by, F.col("__own").alias(fold)).agg((low + (up - low) * part).alias("__t"))
+    return df.join(F.broadcast(least), [*by, fold]).withColumn("escalate", F.col(conf) <= F.col("__t")).drop("__t")  # a row a fold
 
 
 def threshold_frontier(df: DataFrame, by: list[str], conf: str, free_ok: str, llm_ok: str) -> DataFrame:
@@ -59,17 +66,16 @@ def cheapest_as_good(frontier: DataFrame, by: list[str], least: str) -> DataFram
 def running_precision(df: DataFrame, by: list[str], pred: str, conf: str, ok: str) -> DataFrame:
     """Precision and support of all items at least as confident, within a predicted class; equal confidences count
     together."""
-    at_least = Window.partitionBy(*by, pred).orderBy(F.desc(conf)).rangeBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("precision", F.avg(F.col(ok).cast("double")).over(at_least)).withColumn("support", F.count("*").over(at_least))
+    points = precision_points(df, by, pred, conf, ok).withColumnRenamed("t", conf)
+    return df.join(points, [*by, pred, conf])
 
 
 def precision_points(df: DataFrame, by: list[str], pred: str, conf: str, ok: str) -> DataFrame:
-    """running_precision once per distinct confidence (column t): counts are combined first, so the window goes over
+    """running_precision once per distinct confidence (column t): counts are combined first, so running sums go over
     distinct confidences and not over items."""
     per = df.groupBy(*by, pred, F.col(conf).alias("t")).agg(F.count("*").alias("__n"), F.sum(ok).alias("__s"))
-    at_least = Window.partitionBy(*by, pred).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    support = F.sum("__n").over(at_least)
-    return per.select(*by, pred, "t", (F.sum("__s").over(at_least) / support).alias("precision"), support.alias("support"))
+    run = ordered.cumulate(per, [*by, pred], [F.desc("t")], {"support": F.col("__n"), "__right": F.col("__s")})
+    return run.select(*by, pred, "t", (F.col("__right") / F.col("support")).alias("precision"), "support")
 
 
 def guaranteed_coverage(df: DataFrame, by: list[str], pred: str, conf: str, ok: str, bar: float, least: int = 30) -> DataFrame:
@@ -94,16 +100,14 @@ def precision_floor(df: DataFrame, by: list[str], fold: str, pred: str, conf: st
 
 def low_confidence_share(df: DataFrame, by: list[str], conf: str, ok: str, item: str, share: float) -> DataFrame:
     """The share of all errors that the least confident `share` of items holds."""
-    every = Window.partitionBy(*by)
-    d = df.withColumn("__k", F.row_number().over(every.orderBy(conf, item))).withColumn("__n", F.count("*").over(every))
+    d = ordered.with_size(ordered.ranked(df, by, [conf, item], "__k"), by, "__n")
     wrong = 1 - F.col(ok)
     return d.groupBy(*by).agg(F.try_divide(F.sum(F.when(F.col("__k") <= F.round(F.col("__n") * share), wrong).otherwise(0)).cast("double"), F.sum(wrong)).alias("error_share"))
 
 
 def escalation_dial(df: DataFrame, by: list[str], conf: str, ok: str, item: str, shares: list[float]) -> DataFrame:
     """Accuracy of what is kept when the least confident share goes, for each share. One ranking serves all."""
-    every = Window.partitionBy(*by)
-    d = df.withColumn("__k", F.row_number().over(every.orderBy(conf, item))).withColumn("__n", F.count("*").over(every))
+    d = ordered.with_size(ordered.ranked(df, by, [conf, item], "__k"), by, "__n")
     sums = d.groupBy(*by).agg(*[F.avg(F.when(F.col("__k") > F.round(F.col("__n") * s), F.col(ok).cast("double"))).alias(f"s{i}") for i, s in enumerate(shares)])
     return sums.select(*by, F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.col(f"s{i}").alias("accuracy")) for i, s in enumerate(shares)])).alias("x")).select(*by, "x.*")
 
@@ -111,10 +115,8 @@ def escalation_dial(df: DataFrame, by: list[str], conf: str, ok: str, item: str,
 def band(df: DataFrame, by: list[str], conf: str, ok: str, item: str, share: float) -> DataFrame:
     """The run of round(n * share) items, consecutive in confidence, that holds the most errors; of equal ones the
     first."""
-    order = Window.partitionBy(*by).orderBy(conf, item)
-    d = df.withColumn("__k", F.row_number().over(order)).withColumn("__n", F.count("*").over(Window.partitionBy(*by))).withColumn("__w", F.round(F.col("__n") * share).cast("long"))
-    upto = F.sum(1 - F.col(ok)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    sums = d.withColumn("__s", upto)
+    run = ordered.cumulate(df, by, [conf, item], {"__k": F.lit(1).cast("long"), "__s": (1 - F.col(ok)).cast("long")})
+    sums = cut(ordered.with_size(run, by, "__n").withColumn("__w", F.round(F.col("__n") * share).cast("long")), "band")
     ends = sums.select(*by, (F.col("__k") - F.col("__w")).alias("__k"), F.col("__s").alias("__end"), F.col(conf).alias("__high"))
     starts = sums.select(*by, F.col("__k"), F.col("__s"), "__w").unionByName(sums.where("__k = 1").select(*by, F.lit(0).alias("__k"), F.lit(0).cast("long").alias("__s"), "__w"))
     both = starts.join(ends, [*by, "__k"]) if by else starts.join(ends, "__k")

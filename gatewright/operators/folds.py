@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewright.functions.stats import BOUNDS, normal_cdf, normal_quantile
+from gatewright.operators import ordered
 from gatewright.sources.fixtures import u
 
 
@@ -42,15 +43,15 @@ def stratified_take(df: DataFrame, stratum: str, item: str, n: int, seed: int) -
     quota = quota.withColumn("__b", F.floor("__q").cast("long")).withColumn("__left", F.least(F.lit(n), F.sum("__c").over(every)) - F.sum("__b").over(every))
     place = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round(F.col("__q") - F.col("__b"), 9)), stratum))
     quota = quota.select(stratum, (F.col("__b") + (place <= F.col("__left")).cast("long")).alias("__take"))
-    ranked = df.withColumn("__k", F.row_number().over(Window.partitionBy(stratum).orderBy(u(seed, item), item)))
-    return ranked.join(F.broadcast(quota), stratum).where("__k <= __take").drop("__k", "__take")
+    placed = ordered.ranked(df, [stratum], [u(seed, item), F.col(item)], "__k")
+    return placed.join(F.broadcast(quota), stratum).where("__k <= __take").drop("__k", "__take")  # a row a stratum
 
 
 def group_prefix(df: DataFrame, group: str, limit: int, seed: int) -> DataFrame:
     """Whole groups in random order until they hold `limit` rows at least."""
     sizes = df.groupBy(group).agg(F.count("*").alias("__c"))
-    before = F.coalesce(F.sum("__c").over(Window.orderBy(u(seed, group), group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(sizes.where(F.lit(True)).withColumn("__b", before).where(F.col("__b") < limit).select(group), group, "left_semi")
+    upto = ordered.cumulate(sizes, [], [u(seed, group), F.col(group)], {"__upto": F.col("__c")})
+    return df.join(upto.where(F.col("__upto") - F.col("__c") < limit).select(group), group, "left_semi")
 
 
 def learning_subset(df: DataFrame, group: str, fraction: float, seed: int) -> DataFrame:
@@ -60,10 +61,10 @@ def learning_subset(df: DataFrame, group: str, fraction: float, seed: int) -> Da
 
 def stride(df: DataFrame, order: str, cap: int) -> DataFrame:
     """The rows at floor(i * n / cap) in order, i < cap; all of them if there are no more or cap is 0."""
-    ranked = df.withColumn("__k", F.row_number().over(Window.orderBy(order)) - 1).withColumn("__n", F.count("*").over(Window.partitionBy()))
-    k, n, c = F.col("__k"), F.col("__n"), F.lit(max(cap, 1))
+    placed = ordered.with_size(ordered.ranked(df, [], [order], "__k"), [], "__n")
+    k, n, c = F.col("__k") - 1, F.col("__n"), F.lit(max(cap, 1))
     first = F.ceil(k * c / n)  # the smallest i whose floor(i * n / cap) can be k
-    return ranked.where((F.lit(cap) == 0) | (n <= c) | ((first < c) & (F.floor(first * n / c) == k))).drop("__k", "__n")
+    return placed.where((F.lit(cap) == 0) | (n <= c) | ((first < c) & (F.floor(first * n / c) == k))).drop("__k", "__n")
 
 
 def replicate_weights(df: DataFrame, item: str, replicates: int, seed: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatewright.operators import ordered
+
 
 def accuracy(df: DataFrame, by: list[str], gold: str, pred: str) -> DataFrame:
     """An unparsed (null) prediction is wrong."""
@@ -98,9 +100,8 @@ def roc_dominance(df: DataFrame, models: dict[str, str], gold: str, rates: list[
     """Per pair of models (score columns, gold 0/1): whether the first has at least the second's true positive rate
     at every given share of items called positive."""
     long = df.select(gold, F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("score")) for m, c in models.items()])).alias("x")).select(gold, "x.*")
-    order = Window.partitionBy("model").orderBy(F.desc("score"), gold)
-    ranked = long.withColumn("place", F.row_number().over(order) / F.count("*").over(Window.partitionBy("model")))
-    tpr = ranked.groupBy("model").agg(*[(F.sum(F.when(F.col("place") <= r, F.col(gold)).otherwise(0)) / F.sum(gold)).alias(f"r{k}") for k, r in enumerate(rates)])
+    placed = ordered.with_size(ordered.ranked(long, ["model"], [F.desc("score"), F.col(gold)], "__k"), ["model"], "__n").withColumn("place", F.col("__k") / F.col("__n"))
+    tpr = placed.groupBy("model").agg(*[(F.sum(F.when(F.col("place") <= r, F.col(gold)).otherwise(0)) / F.sum(gold)).alias(f"r{k}") for k, r in enumerate(rates)])
     better = F.lit(True)
     for k in range(len(rates)):
         better = better & (F.col(f"a.r{k}") >= F.col(f"b.r{k}"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatewright.operators import ordered
+
 
 def totals(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("requests"), F.count_distinct("email").alias("users"), F.sum((F.col("status") == "error").cast("int")).alias("errors"), F.avg(F.when(F.col("status") == "ok", F.col("ms"))).alias("mean_ok_ms"))
@@ -39,11 +41,10 @@ def quota(log: DataFrame, limit: int) -> DataFrame:
 
 
 def tiers(log: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
-    """Counts, errors and nearest-rank percentiles (index int(n * p)). Ranks come from one sort per group; groups are
-    paths or the like, and rows of a group are counted, not gathered."""
-    every = Window.partitionBy(*by)
-    x = log.withColumn("__k", F.row_number().over(every.orderBy(value)) - 1).withColumn("__n", F.count("*").over(every))
-    at = [F.max(F.when(F.col("__k") == F.least(F.floor(F.col("__n") * p), F.col("__n") - 1), F.col(value))).alias(f"p{round(100 * p)}") for p in points]
+    """Counts, errors and nearest-rank percentiles (index int(n * p)). Ranks come from ranges of the order, so a path with
+    a third of all requests is in many tasks."""
+    x = ordered.with_size(ordered.ranked(log, by, [value], "__k"), by, "__n")
+    at = [F.max(F.when(F.col("__k") - 1 == F.least(F.floor(F.col("__n") * p), F.col("__n") - 1), F.col(value))).alias(f"p{round(100 * p)}") for p in points]
     return x.groupBy(*by).agg(F.count("*").alias("n"), F.sum((F.col("status") == "error").cast("int")).alias("errors"), *at)
 
 
@@ -53,8 +54,8 @@ def sessions(log: DataFrame, gap: str) -> DataFrame:
 
 def budget(log: DataFrame, cost: str, cap: float) -> DataFrame:
     """log with `spent` within the day so far and `allowed`: not yet over the cap."""
-    w = Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("spent", F.round(F.sum(cost).over(w), 6)).withColumn("allowed", F.col("spent") <= cap)
+    run = ordered.cumulate(log, ["day"], ["ts", "event_id"], {"spent": F.col(cost)})
+    return run.withColumn("spent", F.round("spent", 6)).withColumn("allowed", F.col("spent") <= cap)
 
 
 def overlapping(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatewright.functions import stats
 from gatewright.functions import text as t
+from gatewright.operators import ordered
 from gatewright.operators import overlap as o
 from gatewright.plans.base import Plans
 from gatewright.sources import files
@@ -105,14 +106,12 @@ def balanced_from_recall(spark, d):
 SELECT sum(called::INT)::BIGINT AS calls, avg(CASE WHEN called THEN llm_ok ELSE free_ok END::DOUBLE) AS accuracy FROM c""")
 def replay(spark, d):
     """A stream in seeded order: fifty calls to warm up, then calls below a confidence until a cap of sixty is spent.
-    The stream is one sequence by definition; its ranks come from a sort, its cap from a running sum over the few
-    items that ask."""
-    x = pair_log(spark, d).withColumn("s", F.struct(u(101, "item_id").alias("u"), F.col("item_id").alias("i")))
-    order = Window.orderBy("s")
-    ranked = x.withColumn("k", F.row_number().over(order)).withColumn("asks", (F.col("k") > 50) & (F.col("free_conf") < 0.4))
-    spent = F.sum(F.col("asks").cast("int")).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    Places and what is spent so far are running sums over ranges of the order."""
+    placed = ordered.ranked(pair_log(spark, d), [], [u(101, "item_id"), F.col("item_id")], "k")
+    placed = placed.withColumn("asks", (F.col("k") > 50) & (F.col("free_conf") < 0.4))
+    spent = ordered.cumulate(placed, [], ["k"], {"spent": F.col("asks").cast("long")})
     called = (F.col("k") <= 50) | (F.col("asks") & (F.col("spent") <= 60))
-    return ranked.withColumn("spent", spent).agg(F.sum(called.cast("long")).alias("calls"), F.avg(F.when(called, F.col("llm_ok")).otherwise(F.col("free_ok"))).alias("accuracy"))
+    return spent.agg(F.sum(called.cast("long")).alias("calls"), F.avg(F.when(called, F.col("llm_ok")).otherwise(F.col("free_ok"))).alias("accuracy"))
 
 
 @plans.add("q350_min_count_elasticity", f"WITH k AS (SELECT act, text, count(*) AS n FROM {T} GROUP BY 1, 2) SELECT least_n, count(*) AS templates, sum(n)::DOUBLE / (SELECT count(*) FROM {T}) AS coverage FROM k, (SELECT unnest([1, 2, 3]) AS least_n) WHERE n >= least_n GROUP BY 1")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -13,13 +15,18 @@ _own: dict[str, str] = {}
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written under spark.checkpoint.dir and read back. Where that is unset, a single local JVM gets a temporary
-    folder; on a cluster it is an error."""
+    folder, which goes when Python ends; on a cluster it is an error."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.gettempdir() + f"/gatewright-{uuid.uuid4().hex}")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            folder = tempfile.mkdtemp(prefix="gatewright-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[app] = "file://" + folder
+        base = _own[app]
     path = f"{base.rstrip('/')}/gatewright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
