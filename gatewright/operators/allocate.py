@@ -5,29 +5,33 @@ or of distinct scores; items are joined with the outcome by broadcast, as those
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatewright.operators import conformal, ordered
+from gatewright.sources.scratch import cut
+
 #: Bins of confidence in which reliabilities are fitted.
 BINS = 20
 
 
 def share_thresholds(df: DataFrame, by: list[str], fold: str, score: str, shares: list[float], own: bool = False) -> DataFrame:
     """Per fold and share the quantile (linear interpolation) of the scores of the other folds, or of the fold itself.
-    Scores are counted first, so the window goes over distinct scores."""
+    Scores are counted first; their running counts go over ranges of the order, so no fold is in one task."""
+    cells = df.groupBy(*by, fold, F.col(score).alias("s")).agg(F.count("*").alias("c"))
     folds = F.broadcast(df.select(*by, F.col(fold).alias("__own")).distinct())
-    cells = df.groupBy(*by, F.col(fold).alias("__of"), F.col(score).alias("s")).agg(F.count("*").alias("c"))
-    side = F.col("__own") == F.col("__of") if own else F.col("__own") != F.col("__of")
+    side = F.col("__own") == F.col(fold) if own else F.col("__own") != F.col(fold)
     pairs = folds.join(cells, by).where(side) if by else folds.join(cells, side)
-    per = pairs.groupBy(*by, "__own", "s").agg(F.sum("c").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*by, "__own").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = per.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("c")).withColumn("n", F.sum("c").over(Window.partitionBy(*by, "__own")))
+    run = ordered.cumulate(pairs, [*by, "__own"], ["s", fold], {"hi": F.col("c")})
+    total = run.groupBy(*by, "__own").agg(F.sum("c").alias("n"))
+    counted = run.join(F.broadcast(total), [*by, "__own"])  # a row a fold
     at = [F.lit(s) * (F.col("n") - 1) for s in shares]
-    held = lambda k: F.max(F.when((F.col("lo") <= k) & (k < F.col("hi")), F.col("s")))
+    held = lambda k: F.max(F.when((F.col("hi") - F.col("c") <= k) & (k < F.col("hi")), F.col("s")))
     found = [F.struct(F.lit(s).alias("share"), (held(F.floor(a)) + (held(F.ceil(a)) - held(F.floor(a))) * F.max(a - F.floor(a))).alias("t")) for s, a in zip(shares, at, strict=True)]
-    return ranked.groupBy(*by, F.col("__own").alias(fold)).agg(F.array(*found).alias("x")).select(*by, fold, F.inline("x"))
+    return counted.groupBy(*by, F.col("__own").alias(fold)).agg(F.array(*found).alias("x")).select(*by, fold, F.inline("x"))
 
 
 def by_score(df: DataFrame, by: list[str], fold: str, score: str, shares: list[float], own: bool = False) -> DataFrame:
@@ -45,8 +49,7 @@ def by_class(df: DataFrame, by: list[str], fold: str, pred: str, conf: str, free
     first = Window.partitionBy(*by, fold, "share").orderBy(F.desc("a"), "p").rowsBetween(Window.unboundedPreceding, -1)
     room = adv.where("a > 0").withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares]))).withColumn("before", F.coalesce(F.sum("n").over(first), F.lit(0)))
     take = room.select(*by, fold, F.col("p").alias(pred), "share", F.greatest(F.least(F.col("n"), F.floor(F.col("share") * F.col("total") - F.col("before"))), F.lit(0)).alias("take"))
-    place = F.row_number().over(Window.partitionBy(*by, fold, pred).orderBy(conf, item))
-    ranked = df.withColumn("__k", place).withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
+    ranked = ordered.ranked(df, [*by, fold, pred], [conf, item], "__k").withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
     return ranked.join(F.broadcast(take), [*by, fold, pred, "share"], "left").withColumn("escalate", F.coalesce(F.col("__k") <= F.col("take"), F.lit(False))).drop("__k", "take")  # folds x classes x shares rows
 
 
@@ -109,31 +112,147 @@ def outcomes(df: DataFrame, by: list[str], gold: str, free_ok: str, llm_ok: str)
     return per.groupBy(*by).agg(F.avg("r").alias("balanced_accuracy"), (F.sum("s") / F.sum("n")).alias("accuracy"), (F.sum("e") / F.sum("n")).alias("llm_share"))
 
 
-def rules(df: DataFrame, by: list[str], fold: str, gold: str, pred: str, conf: str, margin: str, free_ok: str, llm_ok: str, item: str, shares: list[float]) -> dict[str, Callable[[], DataFrame]]:
-    """The rules of the search by name, each giving df once per share."""
-    return {
-        "confidence": lambda: by_score(df, by, fold, conf, shares),
-        "margin": lambda: by_score(df, by, fold, margin, shares),
-        "class_aware": lambda: by_class(df, by, fold, pred, conf, free_ok, llm_ok, item, shares),
-        "per_class_conf": lambda: by_class_confidence(df, by, fold, gold, pred, conf, free_ok, llm_ok, shares),
-    }
-
-
-def every_rule(df: DataFrame, by: list[str], fold: str, **columns) -> DataFrame:
-    """df once per rule and share."""
-    out: DataFrame | None = None
-    for name, make in rules(df, by, fold, **columns).items():
-        one = make().withColumn("rule", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def nested_point(df: DataFrame, fold: str, inner: str, **columns) -> DataFrame:
-    """Per fold the (rule, share) with the best balanced accuracy in an inner cross-validation on the other folds (ties:
-    the first rule by name, the smallest share), and df with that rule's `escalate` on the fold's own items."""
-    gold, free_ok, llm_ok = columns["gold"], columns["free_ok"], columns["llm_ok"]
-    folds = F.broadcast(df.select(F.col(fold).alias("__outer")).distinct())
-    train = folds.join(df, F.col("__outer") != F.col(fold))  # one copy a fold
-    scored = outcomes(every_rule(train, ["__outer"], inner, **columns), ["__outer", "rule", "share"], gold, free_ok, llm_ok)
-    best = scored.groupBy("__outer").agg(F.min(F.struct((-F.round("balanced_accuracy", 12)).alias("loss"), "rule", "share")).alias("x")).select(F.col("__outer").alias(fold), "x.rule", "x.share", (-F.col("x.loss")).alias("inner_score"))
-    return every_rule(df, [], fold, **columns).join(F.broadcast(best), [fold, "rule", "share"])  # one row a fold
+def precision_margin(df: DataFrame, by: list[str], fold: str, pred: str, conf: str, free_ok: str, llm_pred: str, llm_ok: str, margins: list[float], least: int = 30) -> DataFrame:
+    """df once per margin (column `share`): a class keeps what is at least as confident as the least confident point at
+    which, on the other folds, its running precision is (1 - margin) times the expensive model's own precision on the class
+    (of all its claims where it never makes this one), with the support. Classes without such a point go whole. The share
+    of calls is what the promise costs."""
+    folds = F.broadcast(df.select(*by, F.col(fold).alias("__own")).distinct())
+    keys = [*by, "__own"]
+
+    def others(cells: DataFrame) -> DataFrame:
+        pairs = folds.join(cells, by) if by else folds.crossJoin(cells)
+        return pairs.where(F.col("__own") != F.col(fold))
+
+    points = others(df.groupBy(*by, fold, F.col(pred).alias("p"), F.col(conf).alias("t")).agg(F.count("*").alias("n"), F.sum(free_ok).alias("f")))
+    run = ordered.cumulate(points, [*keys, "p"], [F.desc("t"), F.col(fold)], {"n": F.col("n"), "f": F.col("f")}).groupBy(*keys, "p", "t").agg(F.max("n").alias("n"), F.max("f").alias("f"))
+    claims = others(df.groupBy(*by, fold, F.col(llm_pred).alias("p")).agg(F.count("*").alias("n"), F.sum(llm_ok).alias("l")))
+    pooled = claims.groupBy(*keys).agg((F.sum("l") / F.sum("n")).alias("all"))
+    anchor = claims.groupBy(*keys, "p").agg((F.sum("l") / F.sum("n")).alias("a"))
+    known = run.join(F.broadcast(pooled), keys).join(F.broadcast(anchor), [*keys, "p"], "left")  # folds x classes rows
+    clears = lambda m: (F.col("f") / F.col("n") >= (1 - m) * F.coalesce("a", "all")) & (F.col("n") >= least)
+    floors = known.groupBy(*by, F.col("__own").alias(fold), F.col("p").alias(pred)).agg(F.array(*[F.struct(F.lit(m).alias("share"), F.min(F.when(clears(m), F.col("t"))).alias("__floor")) for m in margins]).alias("x")).select(*by, fold, pred, F.inline("x"))
+    each = df.withColumn("share", F.explode(F.array(*[F.lit(m) for m in margins])))
+    return each.join(F.broadcast(floors), [*by, fold, pred, "share"], "left").withColumn("escalate", F.coalesce(F.col(conf) < F.col("__floor"), F.lit(True))).drop("__floor")  # folds x classes x margins rows
+
+
+#: Bins of the margin in which the router is fitted.
+MARGIN_BINS = 10
+
+
+def _logit(x: np.ndarray, n: np.ndarray, right: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic model of right / n, by Newton's steps; the last column of x is the constant, not penalised."""
+    w = np.zeros(x.shape[1])
+    penalty = np.full(len(w), ridge)
+    penalty[-1] = 1e-6
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + np.diag(penalty), x.T @ (right - n * p) - penalty * w)
+        w += step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
+def router_scores(df: DataFrame, by: list[str], fold: str, pred: str, conf: str, margin: str, free_ok: str, llm_ok: str, fits: Accumulator | None = None) -> DataFrame:
+    """df with `router`: P(cheap right) - P(expensive right) by two logistic models of the other folds, on the predicted
+    class, confidence and margin (low: the expensive model is the better bet). Items are counted in cells of class x bin x
+    bin, so a fit reads a bounded table; each training part is fitted once, whatever the number of budgets. fits: counts
+    them."""
+    b = F.least(F.floor(F.col(margin) * MARGIN_BINS), F.lit(MARGIN_BINS - 1)).cast("int")
+    placed = df.withColumn("__p", F.col(pred)).withColumn("__b", bin_of(conf)).withColumn("__m", b)
+    cells = placed.groupBy(*by, fold, "__p", "__b", "__m").agg(F.count("*").alias("n"), F.sum(free_ok).alias("f"), F.sum(llm_ok).alias("l"))
+    folds = F.broadcast(cells.select(*by, F.col(fold).alias("__own")).distinct())
+    pairs = folds.join(cells, by) if by else folds.crossJoin(cells)
+    keys = [*by, "__own"]
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        classes = np.unique(part["__p"])
+        x = np.column_stack([part["__p"].to_numpy()[:, None] == classes, (part["__b"] + 0.5) / BINS, (part["__m"] + 0.5) / MARGIN_BINS, np.ones(len(part))]).astype(float)
+        train = (part[fold] != part["__own"]).to_numpy()
+        n = part["n"].to_numpy(float)[train]
+        chance = [1 / (1 + np.exp(-x @ _logit(x[train], n, part[c].to_numpy(float)[train]))) for c in ("f", "l")]
+        if fits is not None:
+            fits.add(1)
+        return part[~train][[*keys, "__p", "__b", "__m"]].assign(router=np.round(chance[0] - chance[1], 12)[~train])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    scores = pairs.groupBy(*keys).applyInPandas(fit, ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "__p", "__b", "__m"]) + ", router double")
+    held = cut(scores, "router").withColumnRenamed("__own", fold)
+    return placed.join(held, [*by, fold, "__p", "__b", "__m"]).drop("__p", "__b", "__m")
+
+
+def conformal_scores(df: DataFrame, by: list[str], fold: str, proba: str, gold: str, conf: str, classes: int, alpha: float = 0.1) -> DataFrame:
+    """df with `conformal`: low for items with large prediction sets, by confidence within a size."""
+    sets = conformal.fold_sets(df, fold, proba, gold, alpha, classes, mondrian=True, by=tuple(by))
+    return sets.withColumn("conformal", classes - F.size("pset") + F.col(conf)).drop("pset")
+
+
+def _ends(df: DataFrame) -> DataFrame:
+    """Nothing goes at a budget of 0, everything at 1."""
+    return df.withColumn("escalate", F.when(F.col("share") <= 0, False).when(F.col("share") >= 1, True).otherwise(F.col("escalate")))
+
+
+def search(df: DataFrame, fold: str, inner: str, gold: str, pred: str, llm_pred: str, conf: str, free_ok: str, llm_ok: str, item: str, shares: list[float], scores: tuple[str, ...] = (), own_scores: tuple[str, ...] = ()) -> DataFrame:
+    """What every rule brings at every budget, on held-out items, as counts: outer, fold, rule, share, gold, n, right,
+    called. outer -1: fold's items, by rules fitted on all other folds. outer o >= 0: the inner fold's items outside fold o,
+    by rules fitted on the other inner folds outside o. Deferral curves and nested picks are sums of this one table.
+
+    scores: further columns of which the lowest go first, with thresholds from the training part; own_scores: with
+    thresholds from the scored part itself. Both may be made by staged(), as fitted scores must be."""
+    rows = df if "outer" in df.columns else staged(df, fold, inner)
+    by, at = ["outer"], "part"
+    cell = lambda made: made.groupBy("outer", at, "rule", "share", gold).agg(F.count("*").alias("n"), F.sum(F.when(F.col("escalate"), F.col(llm_ok)).otherwise(F.col(free_ok))).alias("right"), F.sum(F.col("escalate").cast("long")).alias("called"))
+
+    def scored(columns: tuple[str, ...], own: bool) -> DataFrame:
+        long = rows.select("outer", at, gold, free_ok, llm_ok, F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).cast("double").alias("score")) for c in columns])).alias("x")).select("outer", at, gold, free_ok, llm_ok, "x.*")
+        return cell(_ends(by_score(long, ["outer", "rule"], at, "score", shares, own)))
+
+    named = lambda made, rule: cell(made.withColumn("rule", F.lit(rule)))
+    parts = [scored((conf, *scores), False)]
+    if own_scores:
+        parts.append(scored(own_scores, True))
+    parts.append(named(_ends(by_class(rows, by, at, pred, conf, free_ok, llm_ok, item, shares)), "class_aware"))
+    parts.append(named(_ends(by_class_confidence(rows, by, at, gold, pred, conf, free_ok, llm_ok, shares)), "per_class_conf"))
+    parts.append(named(precision_margin(rows, by, at, pred, conf, free_ok, llm_pred, llm_ok, shares), "precision_floor"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return cut(out.withColumn("rule", F.when(F.col("rule") == conf, "confidence").otherwise(F.col("rule"))), "search")
+
+
+def staged(df: DataFrame, fold: str, inner: str) -> DataFrame:
+    """df once for its fold (outer -1, part: the fold) and once for every other fold (outer: that fold, part: the inner
+    fold), written once."""
+    folds = df.select(F.col(fold).alias("outer")).distinct()
+    nested = F.broadcast(folds).join(df, F.col("outer") != F.col(fold)).withColumn("part", F.col(inner))  # a copy a fold
+    return cut(df.withColumn("outer", F.lit(-1)).withColumn("part", F.col(fold)).unionByName(nested), "staged")
+
+
+def curve(cells: DataFrame, keys: list[str], gold: str) -> DataFrame:
+    """Balanced accuracy, accuracy and the share of calls, from the counts of search()."""
+    per = cells.groupBy(*keys, gold).agg(F.sum("n").alias("n"), F.sum("right").alias("right"), F.sum("called").alias("called"))
+    return per.groupBy(*keys).agg(F.avg(F.col("right") / F.col("n")).alias("balanced_accuracy"), (F.sum("right") / F.sum("n")).alias("accuracy"), (F.sum("called") / F.sum("n")).alias("llm_share"))
+
+
+def picks(cells: DataFrame, gold: str) -> DataFrame:
+    """Per fold the (rule, share) with the best balanced accuracy of the inner cross-validation on the other folds (ties:
+    the first rule by name, the smallest share), as part, rule, share, inner_score."""
+    inner = curve(cells.where("outer >= 0"), ["outer", "rule", "share"], gold)
+    return inner.groupBy("outer").agg(F.min(F.struct((-F.round("balanced_accuracy", 12)).alias("loss"), "rule", "share")).alias("x")).select(F.col("outer").alias("part"), "x.rule", "x.share", (-F.col("x.loss")).alias("inner_score"))
+
+
+def nested_point(cells: DataFrame, gold: str) -> DataFrame:
+    """What running the search brings on new data: each fold's pick on the fold's own items."""
+    held = cells.where("outer = -1").join(F.broadcast(picks(cells, gold)), ["part", "rule", "share"])  # one row a fold
+    return curve(held.withColumn("__one", F.lit(1)), ["__one"], gold).drop("__one")
+
+
+def gains(points: DataFrame, rule: str = "confidence") -> DataFrame:
+    """share and gain_per_tenth of the rule's points: what a further tenth of the traffic sent brings in balanced accuracy,
+    from the point before (null for the first and where nothing more is sent)."""
+    order = Window.partitionBy().orderBy("share")  # one row a budget
+    own = points.where(F.col("rule") == rule)
+    spent = F.col("llm_share") - F.lag("llm_share").over(order)
+    gained = F.col("balanced_accuracy") - F.lag("balanced_accuracy").over(order)
+    return own.select("share", "balanced_accuracy", "llm_share", F.when(spent > 1e-9, gained / spent * 0.1).alias("gain_per_tenth"))

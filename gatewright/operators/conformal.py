@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewright.operators import ordered
+
 
 def nonconformity(proba: str, gold: str) -> Column:
     """1 - probability of the gold class (null for a class below 0)."""
@@ -16,8 +18,7 @@ def thresholds(scores: DataFrame, by: list[str], score: str, alpha: float, overf
     the largest score (overflow `max`)."""
     if overflow not in ("inf", "max"):
         raise ValueError(overflow)
-    every = Window.partitionBy(*by)
-    ranked = scores.where(F.col(score).isNotNull()).withColumn("__k", F.row_number().over(every.orderBy(score))).withColumn("__n", F.count("*").over(every))
+    ranked = ordered.with_size(ordered.ranked(scores.where(F.col(score).isNotNull()).select(*by, score), by, [score], "__k"), by, "__n")
     want = F.ceil((F.col("__n") + 1).cast("decimal(20,0)") * F.lit(str(1 - alpha)).cast("decimal(12,10)").cast("decimal(12,6)"))
     at = F.least(want, F.col("__n")) if overflow == "max" else want
     out = ranked.groupBy(*by).agg(F.max(F.when(F.col("__k") == at, F.col(score))).alias("threshold"), F.max("__n").alias("n"))
@@ -37,19 +38,20 @@ def class_sets(proba: Column, per_class: Column, eps: float = 1e-12) -> Column:
     return F.filter(F.transform(proba, lambda p, i: F.when(1 - p <= F.element_at(per_class, i + 1) + eps, i)), lambda i: i.isNotNull())
 
 
-def fold_sets(df: DataFrame, fold: str, proba: str, gold: str, alpha: float, classes: int, mondrian: bool = False, empty: str = "argmax", least: int = 5) -> DataFrame:
-    """df with `pset`, every fold's thresholds from the other folds. Mondrian: per gold class, with the pooled threshold
+def fold_sets(df: DataFrame, fold: str, proba: str, gold: str, alpha: float, classes: int, mondrian: bool = False, empty: str = "argmax", least: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with `pset`, every fold's thresholds from the other folds (of the same values of `by`). Mondrian: per gold class, with the pooled threshold
     for classes of fewer than `least` scores. Thresholds: folds x classes rows."""
-    scores = df.select(fold, gold, nonconformity(proba, gold).alias("__s"))
-    folds = F.broadcast(df.select(fold).distinct().withColumnRenamed(fold, "__own"))
-    others = folds.join(scores, F.col("__own") != F.col(fold))
-    pooled = thresholds(others, ["__own"], "__s", alpha).select("__own", F.col("threshold").alias("__t"))
+    scores = df.select(*by, fold, gold, nonconformity(proba, gold).alias("__s"))
+    folds = F.broadcast(df.select(*by, F.col(fold).alias("__own")).distinct())
+    others = (folds.join(scores, [*by]) if by else folds.crossJoin(scores)).where(F.col("__own") != F.col(fold))
+    keys = [*by, "__own"]
+    pooled = thresholds(others, keys, "__s", alpha).select(*keys, F.col("threshold").alias("__t"))
     if mondrian:
-        own = thresholds(others, ["__own", gold], "__s", alpha).where(F.col("n") >= least).groupBy("__own").agg(F.map_from_entries(F.collect_list(F.struct(gold, "threshold"))).alias("__m"))
-        pooled = pooled.join(own, "__own", "left")
+        own = thresholds(others, [*keys, gold], "__s", alpha).where(F.col("n") >= least).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(gold, "threshold"))).alias("__m"))
+        pooled = pooled.join(own, keys, "left")
         every = F.sequence(F.lit(0), F.lit(classes - 1))
         pooled = pooled.withColumn("__a", F.transform(every, lambda c: F.coalesce(F.element_at(F.coalesce("__m", F.create_map().cast("map<int,double>")), c), F.col("__t")))).drop("__m")
-    joined = df.join(F.broadcast(pooled.withColumnRenamed("__own", fold)), fold)
+    joined = df.join(F.broadcast(pooled.withColumnRenamed("__own", fold)), [*by, fold])
     pset = class_sets(F.col(proba), F.col("__a")) if mondrian else prediction_set(F.col(proba), F.col("__t"), empty)
     return joined.withColumn("pset", pset).drop("__t", "__a")
 

@@ -14,44 +14,53 @@ from gatewright.operators import vectors as v
 from gatewright.plans.base import Plans
 from gatewright.plans.decide import _w_sql
 from gatewright.operators.folds import replicate_weights
+from gatewright.sources.scratch import cut
 from gatewright.sources.fixtures import CLASSES, PAIR_LOG_SQL, PROBA_SQL, REPEATS_SQL, pair_log, proba, repeats, table, u, u_sql
 
 plans = Plans()
 P, Q, R = f"({PAIR_LOG_SQL})", f"({PROBA_SQL})", f"({REPEATS_SQL})"
 SHARES = [0.1, 0.2, 0.4, 0.6]
-COLUMNS = {"gold": "gold", "pred": "free_pred", "conf": "free_conf", "margin": "margin", "free_ok": "free_ok", "llm_ok": "llm_ok", "item": "item_id", "shares": SHARES}
-RULES = ("confidence", "margin", "class_aware", "per_class_conf")
-_S = "(SELECT unnest([" + ", ".join(f"{s!r}::DOUBLE" for s in SHARES) + "]) AS share)"
+#: Budgets of the search, both pure ends with them; for `precision_floor` they are margins of precision.
+GRID = [0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0]
+COLUMNS = {"gold": "gold", "pred": "free_pred", "llm_pred": "llm_pred", "conf": "free_conf", "free_ok": "free_ok", "llm_ok": "llm_ok", "item": "item_id", "shares": GRID, "scores": ("margin", "committee")}
 
 
 def items(spark, d):
-    """pair_log with `margin`, the inner fold and the model's probabilities."""
+    """pair_log with `margin`, the inner fold, the model's probabilities and the committee's signal: how many of the
+    repeats agree with the cheap model, then its confidence."""
     x = proba(spark, d)
+    votes = repeats(spark, d).select("item_id", F.col("free_pred").alias("vote")).join(x.select("item_id", F.col("free_pred").alias("own")), "item_id").groupBy("item_id").agg(F.sum((F.col("vote") == F.col("own")).cast("int")).alias("agree"))
+    x = x.join(votes, "item_id").withColumn("committee", F.col("agree") + F.col("free_conf")).drop("agree")
     return x.withColumn("margin", g.margin_signal(F.col("proba"))).withColumn("inner_fold", F.floor(u(107, "item_id") * 3).cast("int"))
 
 
-X = f"(SELECT *, list_reverse_sort(proba)[1] - list_reverse_sort(proba)[2] AS margin, floor({u_sql(107, 'item_id')} * 3)::INT AS inner_fold FROM {Q})"
+_V = f"(SELECT item_id, sum((v.free_pred = p.free_pred)::INT) AS agree FROM {R} v JOIN (SELECT item_id, free_pred FROM {P}) p USING (item_id) GROUP BY item_id)"
+X = f"(SELECT * EXCLUDE (agree), agree + free_conf AS committee, list_reverse_sort(proba)[1] - list_reverse_sort(proba)[2] AS margin, floor({u_sql(107, 'item_id')} * 3)::INT AS inner_fold FROM {Q} JOIN {_V} USING (item_id))"
 
 
-def _score_sql(src: str, by: str, fold: str, score: str, own: bool = False) -> str:
+def _grid(shares: list[float]) -> str:
+    return "(SELECT unnest([" + ", ".join(f"{s!r}::DOUBLE" for s in shares) + "]) AS share)"
+
+
+def _score_sql(src: str, by: str, fold: str, score: str, own: bool = False, shares: list[float] = SHARES) -> str:
     """The items of src once per share with `escalate`; by: `` or `o` (a column that all statistics are kept apart by)."""
     k, same = (f"{by}, ", f"AND f.{by} = y.{by}") if by else ("", "")
     using = f"{k}{fold}"
-    return f"""SELECT x.*, t.share, x.{score} <= t.t AS escalate FROM {src} x JOIN (SELECT {using}, unnest({SHARES}::DOUBLE[]) AS share, unnest(q) AS t FROM (SELECT {"f." + by + ", " if by else ""}f.{fold}, quantile_cont(y.{score}, {SHARES}) AS q
+    return f"""SELECT x.*, t.share, x.{score} <= t.t AS escalate FROM {src} x JOIN (SELECT {using}, unnest({shares}::DOUBLE[]) AS share, unnest(q) AS t FROM (SELECT {"f." + by + ", " if by else ""}f.{fold}, quantile_cont(y.{score}, {shares}) AS q
       FROM (SELECT DISTINCT {using} FROM {src}) f JOIN {src} y ON y.{fold} {"=" if own else "<>"} f.{fold} {same} GROUP BY ALL)) t USING ({using})"""
 
 
-def _class_sql(src: str, by: str, fold: str) -> str:
-    k = f"{by}, " if by else ""
+def _class_sql(src: str, by: str, fold: str, shares: list[float] = SHARES) -> str:
+    k, _S = f"{by}, " if by else "", _grid(shares)
     return f"""SELECT x.* EXCLUDE (rk), coalesce(x.rk <= t.take, false) AS escalate FROM (SELECT y.*, share, row_number() OVER (PARTITION BY {k}{fold}, free_pred, share ORDER BY free_conf, item_id) AS rk FROM {src} y, {_S}) x
       LEFT JOIN (SELECT {k}{fold}, free_pred, share, greatest(least(n, floor(share * total - bef)), 0) AS take FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY {k}{fold}, share ORDER BY a DESC, free_pred ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM
         (SELECT {k}{fold}, free_pred, n, CASE WHEN sum(n) OVER w > n THEN ((sum(l) OVER w - l) - (sum(f) OVER w - f))::DOUBLE / (sum(n) OVER w - n) END AS a, sum(n) OVER (PARTITION BY {k}{fold}) AS total FROM (SELECT {k}{fold}, free_pred, count(*) AS n, sum(free_ok) AS f, sum(llm_ok) AS l FROM {src} GROUP BY ALL) WINDOW w AS (PARTITION BY {k}free_pred)), {_S} WHERE a > 0)) t USING ({k}{fold}, free_pred, share)"""
 
 
-def _confidence_sql(src: str, by: str, fold: str, prior: float = 20.0) -> str:
+def _confidence_sql(src: str, by: str, fold: str, prior: float = 20.0, shares: list[float] = SHARES) -> str:
     """by_class_confidence, with the isotonic fit as the greatest of least run means."""
     k, f = (f"{by}, ", f"f.{by}, ") if by else ("", "")
-    same = f"AND f.{by} = y.{by}" if by else ""
+    same, _S = f"AND f.{by} = y.{by}" if by else "", _grid(shares)
     b = f"least(floor(free_conf * {al.BINS}), {al.BINS - 1})::INT"
 
     def iso(cells: str, keys: str) -> str:
@@ -72,10 +81,27 @@ def _confidence_sql(src: str, by: str, fold: str, prior: float = 20.0) -> str:
       SELECT x.* EXCLUDE (b), buy.b IS NOT NULL AS escalate FROM (SELECT y.*, share, {b.replace("free_conf", "y.free_conf")} AS b FROM xx y, {_S}) x LEFT JOIN buy USING ({q}, free_pred, b, share))"""
 
 
-def _rules_sql(src: str, by: str, fold: str) -> str:
-    parts = {"confidence": _score_sql(src, by, fold, "free_conf"), "margin": _score_sql(src, by, fold, "margin"), "class_aware": _class_sql(src, by, fold), "per_class_conf": _confidence_sql(src, by, fold)}
-    columns = (f"{by}, " if by else "") + "item_id, fold, gold, free_ok, llm_ok, share, escalate"
-    return " UNION ALL ".join(f"SELECT '{n}' AS rule, {columns} FROM ({p})" for n, p in parts.items())
+def _floor_sql(src: str, by: str, fold: str, shares: list[float], least: int = 30) -> str:
+    """precision_margin."""
+    return f"""(WITH xx AS (SELECT * FROM {src}), ff AS (SELECT DISTINCT {by}, {fold} FROM xx), oo AS (SELECT f.{fold} AS own, y.* FROM ff f JOIN xx y ON y.{by} = f.{by} AND y.{fold} <> f.{fold}),
+      rr AS (SELECT DISTINCT {by}, own, free_pred, free_conf, avg(free_ok::DOUBLE) OVER w AS pr, count(*) OVER w AS n FROM oo WINDOW w AS (PARTITION BY {by}, own, free_pred ORDER BY free_conf DESC RANGE UNBOUNDED PRECEDING)),
+      aa AS (SELECT {by}, own, llm_pred AS free_pred, avg(llm_ok::DOUBLE) AS a FROM oo GROUP BY ALL), pp AS (SELECT {by}, own, avg(llm_ok::DOUBLE) AS al FROM oo GROUP BY ALL),
+      tt AS (SELECT {by}, own AS {fold}, free_pred, share, min(free_conf) AS t FROM rr JOIN pp USING ({by}, own) LEFT JOIN aa USING ({by}, own, free_pred), {_grid(shares)} WHERE pr >= (1 - share) * coalesce(a, al) AND n >= {least} GROUP BY ALL)
+      SELECT x.*, coalesce(free_conf < t, true) AS escalate FROM (SELECT * FROM xx, {_grid(shares)}) x LEFT JOIN tt USING ({by}, {fold}, free_pred, share))"""
+
+
+def _cells_sql() -> str:
+    """The table of search(), from x."""
+    src, by, fold = "st", "outer_fold", "part"
+    ends = "CASE WHEN share <= 0 THEN false WHEN share >= 1 THEN true ELSE escalate END"
+    parts = {"confidence": _score_sql(src, by, fold, "free_conf", shares=GRID), "margin": _score_sql(src, by, fold, "margin", shares=GRID), "committee": _score_sql(src, by, fold, "committee", shares=GRID), "class_aware": _class_sql(src, by, fold, GRID), "per_class_conf": _confidence_sql(src, by, fold, shares=GRID), "precision_floor": _floor_sql(src, by, fold, GRID)}
+    every = " UNION ALL ".join(f"SELECT '{n}' AS rule, outer_fold, part, gold, free_ok, llm_ok, share, {'escalate' if n == 'precision_floor' else ends} AS escalate FROM ({p})" for n, p in parts.items())
+    return f"""x AS MATERIALIZED {X}, st AS MATERIALIZED (SELECT x.*, -1 AS outer_fold, fold AS part FROM x UNION ALL SELECT x.*, f.outer_fold, x.inner_fold AS part FROM (SELECT DISTINCT fold AS outer_fold FROM x) f JOIN x ON x.fold <> f.outer_fold),
+cells AS MATERIALIZED (SELECT rule, outer_fold, part, share, gold, count(*) AS n, sum(CASE WHEN escalate THEN llm_ok ELSE free_ok END) AS r, sum(escalate::INT) AS e FROM ({every}) GROUP BY ALL)"""
+
+
+def _curve_sql(keys: str, src: str) -> str:
+    return f"""SELECT {keys}, avg(r / n) AS balanced_accuracy, sum(r) / sum(n) AS accuracy, sum(e) / sum(n) AS llm_share FROM (SELECT {keys}, gold, sum(n)::DOUBLE AS n, sum(r)::DOUBLE AS r, sum(e)::DOUBLE AS e FROM {src} GROUP BY ALL) GROUP BY ALL"""
 
 
 def _outcomes_sql(keys: str, src: str) -> str:
@@ -123,41 +149,67 @@ def per_class_conf(spark, d):
     return al.outcomes(al.by_class_confidence(items(spark, d), [], "fold", "gold", "free_pred", "free_conf", "free_ok", "llm_ok", SHARES), ["share"], "gold", "free_ok", "llm_ok")
 
 
-@plans.add("q266_class_reliability", f"WITH x AS {X}, a AS {_confidence_sql('x', '', 'fold').replace('SELECT x.* EXCLUDE (b), buy.b IS NOT NULL AS escalate FROM (SELECT y.*, share, least(floor(y.free_conf * 20), 19)::INT AS b FROM xx y, ' + _S + ') x LEFT JOIN buy USING (fold, free_pred, b, share))', 'SELECT * FROM rel)')} SELECT fold, p, b, n::BIGINT AS n, rel FROM a")
+@plans.add("q266_class_reliability", f"WITH x AS {X}, a AS {_confidence_sql('x', '', 'fold').replace('SELECT x.* EXCLUDE (b), buy.b IS NOT NULL AS escalate FROM (SELECT y.*, share, least(floor(y.free_conf * 20), 19)::INT AS b FROM xx y, ' + _grid(SHARES) + ') x LEFT JOIN buy USING (fold, free_pred, b, share))', 'SELECT * FROM rel)')} SELECT fold, p, b, n::BIGINT AS n, rel FROM a")
 def class_reliability(spark, d):
     """Isotonic reliability by class, shrunk to the one of all classes, from the other folds."""
     return al.reliability(items(spark, d), [], "fold", "free_pred", "free_conf", "free_ok").select("fold", "p", "b", F.col("n").cast("long").alias("n"), "rel")
 
 
-@plans.add("q269_deferral_curve", f"WITH x AS {X}, a AS ({_rules_sql('x', '', 'fold')}) {_outcomes_sql('rule, share', 'a')}")
+def search(spark, d):
+    return al.search(items(spark, d), "fold", "inner_fold", **COLUMNS)
+
+
+@plans.add("q269_deferral_curve", f"WITH {_cells_sql()} {_curve_sql('rule, share', '(SELECT * FROM cells WHERE outer_fold = -1)')}")
 def deferral_curve(spark, d):
-    """Every rule at every budget."""
-    return al.outcomes(al.every_rule(items(spark, d), [], "fold", **COLUMNS), ["rule", "share"], "gold", "free_ok", "llm_ok")
+    """The six rules of the search at every budget, both ends with them."""
+    return al.curve(search(spark, d).where("outer = -1"), ["rule", "share"], "gold")
 
 
-_NESTED = f"""x AS {X}, tr AS (SELECT f.o, x.* FROM (SELECT DISTINCT fold AS o FROM x) f JOIN x ON x.fold <> f.o), inn AS ({_rules_sql('tr', 'o', 'inner_fold')}), sc AS ({_outcomes_sql('o, rule, share', 'inn')}),
-best AS (SELECT o AS fold, rule, share, loss FROM (SELECT o, rule, share, round(balanced_accuracy, 12) AS loss, row_number() OVER (PARTITION BY o ORDER BY round(balanced_accuracy, 12) DESC, rule, share) AS k FROM sc) WHERE k = 1), every AS ({_rules_sql('x', '', 'fold')})"""
+@plans.add("q269_gain_per_spend", f"""WITH {_cells_sql()}, c AS ({_curve_sql('rule, share', "(SELECT * FROM cells WHERE outer_fold = -1 AND rule = 'confidence')")})
+SELECT share, balanced_accuracy, llm_share, CASE WHEN llm_share - lag(llm_share) OVER w > 1e-9 THEN (balanced_accuracy - lag(balanced_accuracy) OVER w) / (llm_share - lag(llm_share) OVER w) * 0.1::DOUBLE END AS gain_per_tenth FROM c WINDOW w AS (ORDER BY share)""")
+def gain_per_spend(spark, d):
+    """What the next tenth of the traffic brings along the curve of confidence."""
+    return al.gains(al.curve(search(spark, d).where("outer = -1"), ["rule", "share"], "gold"))
 
 
-@plans.add("q270_nested_point", f"WITH {_NESTED}, e AS (SELECT every.* FROM every JOIN best USING (fold, rule, share)) SELECT balanced_accuracy, accuracy, llm_share FROM ({_outcomes_sql('1 AS one', 'e')})")
+_NESTED = f"""{_cells_sql()}, sc AS ({_curve_sql('outer_fold, rule, share', '(SELECT * FROM cells WHERE outer_fold >= 0)')}),
+best AS (SELECT outer_fold AS part, rule, share, inner_score FROM (SELECT outer_fold, rule, share, round(balanced_accuracy, 12) AS inner_score, row_number() OVER (PARTITION BY outer_fold ORDER BY round(balanced_accuracy, 12) DESC, rule, share) AS k FROM sc) WHERE k = 1)"""
+
+
+@plans.add("q270_nested_point", f"WITH {_NESTED}, held AS (SELECT cells.* FROM cells JOIN best USING (part, rule, share) WHERE outer_fold = -1) SELECT balanced_accuracy, accuracy, llm_share FROM ({_curve_sql('1 AS one', 'held')})")
 def nested_point(spark, d):
     """The operating point chosen by an inner cross-validation, scored on the outer folds."""
-    return al.outcomes(al.nested_point(items(spark, d), "fold", "inner_fold", **COLUMNS).withColumn("one", F.lit(1)), ["one"], "gold", "free_ok", "llm_ok").drop("one")
+    return al.nested_point(search(spark, d), "gold")
 
 
-@plans.add("q270_nested_picks", f"WITH {_NESTED} SELECT fold, rule, share, loss AS inner_score FROM best")
+@plans.add("q270_nested_picks", f"WITH {_NESTED} SELECT part AS fold, rule, share, inner_score FROM best")
 def nested_picks(spark, d):
-    return al.nested_point(items(spark, d), "fold", "inner_fold", **COLUMNS).select("fold", "rule", "share", "inner_score").distinct()
+    return al.picks(search(spark, d), "gold").withColumnRenamed("part", "fold")
+
+
+def fitted_search(spark, d, fits=None):
+    """search() with the router's and the conformal sets' scores as two more rules, each fitted once for every part."""
+    rows = al.staged(items(spark, d), "fold", "inner_fold")
+    rows = al.conformal_scores(rows, ["outer"], "part", "proba", "gold", "free_conf", CLASSES)
+    rows = al.router_scores(rows, ["outer"], "part", "free_pred", "free_conf", "margin", "free_ok", "llm_ok", fits)
+    return al.search(cut(rows, "fitted"), "fold", "inner_fold", **COLUMNS, own_scores=("conformal", "router"))
 
 
-@plans.add("q186_cheapest_equivalent", f"""WITH x AS {X}, a AS ({_rules_sql('x', '', 'fold')}), o AS ({_outcomes_sql('rule, share', 'a')}), n AS (SELECT sqrt(0.25 / count(*))::DOUBLE * 1.959963984540054::DOUBLE AS floor FROM x)
+@plans.add("q270_fitted_search")
+def fitted_point(spark, d):
+    """The nested point of all eight rules and, beside it, each fold's pick."""
+    cells = cut(fitted_search(spark, d), "cells")
+    return al.picks(cells, "gold").withColumnRenamed("part", "fold").crossJoin(F.broadcast(al.nested_point(cells, "gold")))  # one row
+
+
+@plans.add("q186_cheapest_equivalent", f"""WITH {_cells_sql()}, o AS ({_curve_sql('rule, share', '(SELECT * FROM cells WHERE outer_fold = -1)')}), n AS (SELECT sqrt(0.25 / count(*))::DOUBLE * 1.959963984540054::DOUBLE AS floor FROM x)
 SELECT rule, share, balanced_accuracy, llm_share FROM (SELECT *, row_number() OVER (ORDER BY round(llm_share, 12), round(balanced_accuracy, 12) DESC, rule, share) AS k FROM o, n WHERE balanced_accuracy >= (SELECT max(balanced_accuracy) FROM o) - floor) WHERE k = 1""")
 def cheapest_equivalent(spark, d):
     """Of the points within the noise of the best one that with the smallest share (then the better, then by rule)."""
-    x = items(spark, d)
-    o = al.outcomes(al.every_rule(x, [], "fold", **COLUMNS), ["rule", "share"], "gold", "free_ok", "llm_ok")
-    noise = x.agg((F.sqrt(0.25 / F.count("*")) * stats.Z95).alias("floor"))
-    near = o.withColumn("top", F.max("balanced_accuracy").over(Window.partitionBy())).crossJoin(noise).where("balanced_accuracy >= top - floor")  # rules x shares rows
+    cells = search(spark, d)
+    o = al.curve(cells.where("outer = -1"), ["rule", "share"], "gold")
+    noise = cells.where("outer = -1 AND rule = 'confidence' AND share = 0").agg((F.sqrt(0.25 / F.sum("n")) * stats.Z95).alias("floor"))
+    near = o.crossJoin(F.broadcast(o.agg(F.max("balanced_accuracy").alias("top")))).crossJoin(noise).where("balanced_accuracy >= top - floor")  # one row each
     return near.agg(F.min_by(F.struct("rule", "share", "balanced_accuracy", "llm_share"), F.struct(F.round("llm_share", 12), -F.round("balanced_accuracy", 12), "rule", "share")).alias("x")).select("x.*")
 
 
