@@ -10,12 +10,13 @@ from gatewright.operators import allocate as al
 from gatewright.operators import conformal as c
 from gatewright.operators import defer as g
 from gatewright.operators import metrics as m
+from gatewright.operators import stacking as st
 from gatewright.operators import vectors as v
 from gatewright.plans.base import Plans
 from gatewright.plans.decide import _w_sql
 from gatewright.operators.folds import replicate_weights
 from gatewright.sources.scratch import cut
-from gatewright.sources.fixtures import CLASSES, PAIR_LOG_SQL, PROBA_SQL, REPEATS_SQL, pair_log, proba, repeats, table, u, u_sql
+from gatewright.sources.fixtures import CLASSES, PAIR_LOG_SQL, PROBA_SQL, REPEATS_SQL, members, pair_log, proba, repeats, table, u, u_sql
 
 plans = Plans()
 P, Q, R = f"({PAIR_LOG_SQL})", f"({PROBA_SQL})", f"({REPEATS_SQL})"
@@ -270,6 +271,21 @@ def selection_layer(spark, d):
     return best.groupBy("model").agg(F.count("*").alias("n"), F.avg("ok").alias("accuracy"))
 
 
+MEMBERS = {"b": "proba_b", "free": "proba", "llm": "proba_llm"}
+
+
+def staged_members(spark, d):
+    x = members(spark, d).withColumn("inner_fold", F.floor(u(107, "item_id") * 3).cast("int"))
+    return al.staged(x.select("item_id", "fold", "inner_fold", "gold", *MEMBERS.values()), "fold", "inner_fold")
+
+
+@plans.add("q273_stacking_layer")
+def stacking_layer(spark, d):
+    """For every fold what to ship, decided on the other folds: the best of three models, selection by reliability, or
+    stacking; with what it brings on the fold."""
+    return st.layer(staged_members(spark, d), "gold", MEMBERS, CLASSES)
+
+
 _NEAR = f"""e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 100 = 0), pr AS (SELECT q.vec_id AS query, e.vec_id AS nb, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) AS s FROM q JOIN e ON q.vec_id <> e.vec_id),
 nn AS (SELECT query, nb, rk FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, nb) AS rk FROM pr) WHERE rk <= 7), p AS {P},
 z AS (SELECT n.query, n.rk, a.gold AS g, a.free_pred AS f, a.llm_pred AS l, b.gold AS ng, b.free_ok AS nf, b.llm_ok AS nl FROM nn n JOIN p a ON a.item_id = n.query JOIN p b ON b.item_id = n.nb)"""
