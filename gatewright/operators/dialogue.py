@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatewright.operators import similar as sim
 from gatewright.functions import text as t
 from gatewright.operators.vectors import cosine
 from gatewright.sources.scratch import cut
@@ -119,13 +120,9 @@ def grams(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def lexical_cosine(left: DataFrame, right: DataFrame, a: str, b: str, text: str) -> DataFrame:
-    """Cosines of gram counts of the pairs that share a gram: a join on grams, no pairs without one."""
-    count = lambda df, k: df.select(F.col(k).alias(k), F.explode(grams(F.col(text))).alias("gram")).groupBy(k, "gram").agg(F.count("*").alias("c"))
-    x, y = count(left, a), count(right, b)
-    dots = x.join(y.withColumnRenamed("c", "c2"), "gram").groupBy(a, b).agg(F.sum(F.col("c") * F.col("c2")).alias("dot"))
-    na, nb = (df.groupBy(k).agg(F.sqrt(F.sum(F.col("c") * F.col("c")).cast("double")).alias(f"n{k}")) for df, k in ((x, a), (y, b)))
-    return dots.join(na, a).join(nb, b).select(a, b, (F.col("dot") / (F.col(f"n{a}") * F.col(f"n{b}"))).alias("cosine"))
+def lexical_cosine(left: DataFrame, right: DataFrame, a: str, b: str, text: str, least: float) -> DataFrame:
+    """Pairs of texts whose gram counts have a cosine of at least `least`: candidates share a rare gram."""
+    return sim.cosine_pairs(sim.gram_weights(left, a, grams(F.col(text))), sim.gram_weights(right, b, grams(F.col(text))), a, b, least)
 
 
 def map_to_candidate(texts: DataFrame, candidates: DataFrame, key: str, rank: str, text: str, digits: int = 9) -> DataFrame:
@@ -133,7 +130,9 @@ def map_to_candidate(texts: DataFrame, candidates: DataFrame, key: str, rank: st
     rank); -1 for empty texts and those that share no gram."""
     form = texts.select(key, dedup_form(F.col(text)).alias("form"))
     exact = form.where("form <> ''").join(candidates.select(F.col(rank).alias("__r"), dedup_form(F.col(text)).alias("form")), "form").groupBy(key).agg(F.min("__r").alias("exact"))
-    near = lexical_cosine(texts, candidates, key, rank, text).groupBy(key).agg(F.max(F.struct(F.round("cosine", digits).alias("c"), (-F.col(rank)).alias("r"))).alias("x")).select(key, (-F.col("x.r")).alias("near"))
+    open_ = texts.join(exact, key, "left_anti")
+    best = sim.nearest(sim.gram_weights(open_, key, grams(F.col(text))), sim.gram_weights(candidates, rank, grams(F.col(text))), key, rank, digits)
+    near = best.select(key, F.col(rank).alias("near"))
     return texts.select(key).join(exact, key, "left").join(near, key, "left").select(key, F.coalesce("exact", "near", F.lit(-1)).alias("candidate"))
 
 

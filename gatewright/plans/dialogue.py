@@ -9,6 +9,7 @@ from gatewright.functions import text as t
 from gatewright.operators import dialogue as dl
 from gatewright.operators import sequence as s
 from gatewright.operators import vectors as v
+from gatewright.operators import similar as sim
 from gatewright.plans.base import Plans
 from gatewright.sources.fixtures import TURNS_SQL, table, turns, u, u_sql
 
@@ -298,10 +299,11 @@ def example_texts(spark, d):
 _GRAMS = lambda key, src: f"(SELECT {key}, gram, count(*)::DOUBLE AS c FROM (SELECT {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM (SELECT {key}, list_filter(string_split({_PLAIN}, ' '), lambda x: x <> '') AS w FROM {src})) GROUP BY ALL)"
 
 
-@plans.add("q335_lexical_cosine", f"WITH a AS {_GRAMS('item_id', 'benchmark')}, na AS (SELECT item_id, sqrt(sum(c * c)) AS n FROM a GROUP BY 1), b AS (SELECT item_id AS other, gram, c FROM a WHERE item_id % 5 = 0) SELECT a.item_id, b.other, round(sum(a.c * b.c) / (any_value(x.n) * any_value(y.n)), 9) AS cosine FROM a JOIN b USING (gram) JOIN na x ON x.item_id = a.item_id JOIN na y ON y.item_id = b.other GROUP BY 1, 2")
+@plans.add("q335_lexical_cosine", f"WITH a AS {_GRAMS('item_id', 'benchmark')}, na AS (SELECT item_id, sqrt(sum(c * c)) AS n FROM a GROUP BY 1), b AS (SELECT item_id AS other, gram, c FROM a) SELECT * FROM (SELECT a.item_id, b.other, round(sum(a.c * b.c) / (any_value(x.n) * any_value(y.n)), 9) AS cosine FROM a JOIN b USING (gram) JOIN na x ON x.item_id = a.item_id JOIN na y ON y.item_id = b.other GROUP BY 1, 2) WHERE cosine >= 0.2::DOUBLE")
 def lexical_cosine(spark, d):
+    """All benchmark items against all, by rare grams."""
     b = table(spark, d, "benchmark")
-    return dl.lexical_cosine(b, b.where("item_id % 5 = 0").withColumnRenamed("item_id", "other"), "item_id", "other", "text").select("item_id", "other", F.round("cosine", 9).alias("cosine"))
+    return dl.lexical_cosine(b, b.withColumnRenamed("item_id", "other"), "item_id", "other", "text", 0.2).select("item_id", "other", F.round("cosine", 9).alias("cosine"))
 
 
 @plans.add("q336_map_to_candidate", f"""WITH x AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN text || ' !' ELSE array_to_string(list_reverse(string_split(text, ' ')), ' ') END AS text FROM benchmark), c AS (SELECT item_id // 2 AS r, min(text) AS text FROM benchmark GROUP BY 1),
@@ -361,16 +363,22 @@ def coverage_gap(spark, d):
     return out.groupBy("variant", "long").agg((F.avg(F.when(~F.col("held"), F.col("hit"))) - F.avg(F.when(F.col("held"), F.col("hit")))).alias("gap"))
 
 
-@plans.add("q344_equivalence", f"{_COVER} SELECT te.conv_id, te.turn, bool_or(te.text = tr.text) AS exact, bool_or(te.form = tr.form) AS field_safe, max(round(jaccard(te.form, tr.form), 9)) >= 0.9 AS near FROM te JOIN tr USING (act) GROUP BY 1, 2")
+_SET = "list_sort(list_distinct(list_filter(string_split({}, ' '), lambda w: w <> '')))"
+
+
+@plans.add("q344_equivalence", f"""{_COVER}, a AS (SELECT *, {_SET.format('form')} AS w FROM te), b AS (SELECT DISTINCT act, text, form, {_SET.format('form')} AS w FROM tr)
+SELECT a.conv_id, a.turn, bool_or(a.text = b.text) AS exact, bool_or(a.form = b.form) AS field_safe, max(CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) ELSE 0 END) >= 0.6::DOUBLE - 1e-9 AS near FROM a JOIN b USING (act) GROUP BY 1, 2""")
 def equivalence(spark, d):
-    """Whether a turn equals a template of its act: as it stands, by form, nearly (Jaccard of the letters)."""
-    x = turns(spark, d).withColumn("form", dl.dedup_form(F.col("text")))
-    chars = lambda c: F.array_distinct(F.split(c, ""))
-    tr = x.where("conv_id % 4 > 0").select("act", F.col("text").alias("t2"), F.col("form").alias("f2")).distinct()
-    pairs = x.where("conv_id % 4 = 0").join(tr, "act")
-    a, b = chars(F.col("form")), chars(F.col("f2"))
-    j = F.round(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)), 9)
-    return pairs.groupBy("conv_id", "turn").agg(F.bool_or(F.col("text") == F.col("t2")).alias("exact"), F.bool_or(F.col("form") == F.col("f2")).alias("field_safe"), (F.max(j) >= 0.9).alias("near"))
+    """Whether a turn equals a template of its act: as it stands, by form, nearly (Jaccard of the words of 0.6)."""
+    x = turns(spark, d).withColumn("form", dl.dedup_form(F.col("text"))).withColumn("words", F.filter(F.split("form", " "), lambda w: w != ""))
+    tr, te = x.where("conv_id % 4 > 0"), x.where("conv_id % 4 = 0")
+    near = sim.jaccard_pairs(te, tr, ["act"], "words", 0.6).select("act", F.col("a").alias("cls")).distinct().withColumn("near", F.lit(True))
+    flag = lambda column, name: tr.select("act", F.md5(column).alias(f"__{column}")).distinct().withColumn(name, F.lit(True))
+    known = tr.select("act").distinct()
+    out = te.join(F.broadcast(known), "act").withColumn("__text", F.md5("text")).withColumn("__form", F.md5("form")).withColumn("cls", sim.set_digest(F.col("words")))  # a row an act
+    out = out.join(flag("text", "exact"), ["act", "__text"], "left").join(flag("form", "field_safe"), ["act", "__form"], "left").join(near, ["act", "cls"], "left")
+    no = F.lit(False)
+    return out.groupBy("conv_id", "turn").agg(*[F.bool_or(F.coalesce(c, no)).alias(c) for c in ("exact", "field_safe", "near")])
 
 
 _MEMBERS = f"SELECT conv_id, turn, act, [floor({u_sql(211, 'conv_id', 'turn')} * 9)::INT, CASE WHEN {u_sql(212, 'conv_id', 'turn')} < 0.7::DOUBLE THEN act ELSE 0 END, CASE WHEN {u_sql(213, 'conv_id', 'turn')} < 0.8::DOUBLE THEN act ELSE 1 END] AS votes, {u_sql(214, 'conv_id', 'turn')} AS conf FROM {T}"
@@ -407,15 +415,17 @@ def act_template_head(spark, d):
     return x.where("conv_id % 4 = 0").join(F.broadcast(best), "act", "left").select("conv_id", "turn", (F.col("best") == F.col("text")).alias("ok"), F.md5("best").alias("h"))  # one row an act
 
 
-@plans.add("q354_relaxed_match", f"{_HEAD} SELECT count(*) AS n, avg(coalesce(b.best = te.text, false)::INT::DOUBLE) AS strict, avg(coalesce(jaccard(b.best, te.text) >= 0.8, false)::INT::DOUBLE) AS relaxed FROM te LEFT JOIN b USING (act)")
+@plans.add("q354_relaxed_match", f"""{_HEAD}, z AS (SELECT te.text, b.best, list_distinct(list_filter(string_split(lower(te.text), ' '), lambda w: w <> '')) AS u, list_distinct(list_filter(string_split(lower(b.best), ' '), lambda w: w <> '')) AS v FROM te LEFT JOIN b USING (act))
+SELECT count(*) AS n, avg(coalesce(best = text, false)::INT::DOUBLE) AS strict, avg(coalesce(len(u) > 0 AND len(v) > 0 AND len(list_intersect(u, v))::DOUBLE / (len(u) + len(v) - len(list_intersect(u, v))) >= 0.3::DOUBLE - 1e-9, false)::INT::DOUBLE) AS relaxed FROM z""")
 def relaxed_match(spark, d):
-    """Composed answers that are right as they stand, and nearly (Jaccard of the letters)."""
+    """Composed answers that are right as they stand, and nearly (Jaccard of the words of 0.3)."""
     x = turns(spark, d)
     counts = x.where("conv_id % 4 > 0").groupBy("act", "text").agg(F.count("*").alias("n"))
     best = counts.groupBy("act").agg(F.min(F.struct((-F.col("n")).alias("n"), "text")).alias("x")).select("act", F.col("x.text").alias("best"))
-    a, b = (F.array_distinct(F.split(c, "")) for c in ("best", "text"))
+    u, v = (F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: w != "")) for c in ("best", "text"))
     y = x.where("conv_id % 4 = 0").join(F.broadcast(best), "act", "left")  # one row an act
-    near = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)) >= 0.8
+    shared = F.size(F.array_intersect(u, v))
+    near = (F.size(u) > 0) & (F.size(v) > 0) & (shared / (F.size(u) + F.size(v) - shared) >= 0.3 - sim.EPS)
     return y.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col("best") == F.col("text"), F.lit(False)).cast("double")).alias("strict"), F.avg(F.coalesce(near, F.lit(False)).cast("double")).alias("relaxed"))
 
 
