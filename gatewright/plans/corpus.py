@@ -144,7 +144,12 @@ def sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(t.sentences(F.col("text"))).alias("n"))
 
 
-@plans.add("q055_qa_tokens")
+_QA = r"""list_filter(regexp_split_to_array(regexp_replace(lower({}), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the'))"""
+
+
+@plans.add("q055_qa_tokens", f"""WITH s AS (SELECT item_id, {_QA.format("list_filter(list_transform(regexp_split_to_array(text, '[.!?;\n]'), lambda x: trim(x)), lambda x: x <> '')[1]")} AS a, {_QA.format("text")} AS b FROM benchmark),
+c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))), 0)::DOUBLE AS c FROM s)
+SELECT item_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN (len(a) = len(b))::INT::DOUBLE WHEN c = 0 THEN 0.0 ELSE 2 * (c / len(a)) * (c / len(b)) / (c / len(a) + c / len(b)) END AS f1 FROM c""")
 def qa_tokens(spark, d):
     """F1 of each benchmark item's first sentence against the whole item."""
     b = table(spark, d, "benchmark")

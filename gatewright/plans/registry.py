@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gatewright.plans import cascade, corpus, decide, dialogue, learn, measure, more, phrases, reports, scans, units
+from gatewright.plans import answers, cascade, corpus, decide, dialogue, learn, measure, more, phrases, reports, scans, units
 
-MODULES = (cascade, corpus, decide, dialogue, learn, measure, more, phrases, reports, scans, units)
+MODULES = (answers, cascade, corpus, decide, dialogue, learn, measure, more, phrases, reports, scans, units)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
