@@ -143,7 +143,7 @@ def test_registered_names():
     from gatewright.llm import registry
 
     names = registry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(registry.oracle_sql()) <= set(names)
 
 
