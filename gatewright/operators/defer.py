@@ -175,6 +175,48 @@ def class_router(df: DataFrame, fold: str, gold: str, pred: str, free_ok: str, l
     return df.join(F.broadcast(chosen), [fold, pred], "left").withColumn("escalate", F.coalesce("escalate", F.lit(False)))  # folds x classes rows
 
 
+def boards(df: DataFrame, fold: str, gold: str, models: dict[str, str], prior: float = 20.0) -> DataFrame:
+    """own, model, cls, score, edge, turn: for every fold the models' competence on the other folds. score: how often the
+    model's claim of the class is right, shrunk to its accuracy by `prior` pseudo-counts (a class it never claims has that
+    accuracy); edge: score less the class's mean over models; turn: the model's place by accuracy (ties: as listed)."""
+    long = df.select(fold, gold, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("model"), F.col(p).alias("cls")) for i, (m, p) in enumerate(models.items())])).alias("x")).select(fold, gold, "x.*")
+    cube = long.groupBy(fold, "i", "model", "cls").agg(F.count("*").alias("n"), F.sum(F.coalesce((F.col("cls") == F.col(gold)).cast("int"), F.lit(0))).alias("h"))
+    folds, names, classes = (cube.select(*c).distinct() for c in ([F.col(fold).alias("own")], ["i", "model"], ["cls"]))
+    others = cube.crossJoin(F.broadcast(folds)).where(F.col("own") != F.col(fold))  # folds x folds x models x classes rows
+    cell = others.groupBy("own", "model", "cls").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    every = others.groupBy("own", "i", "model").agg((F.sum("h") / F.sum("n")).alias("acc"))
+    every = every.withColumn("turn", F.row_number().over(Window.partitionBy("own").orderBy(F.desc(F.round("acc", 12)), "i")))
+    zero = F.lit(0)
+    grid = every.crossJoin(F.broadcast(classes)).join(cell, ["own", "model", "cls"], "left")
+    scored = grid.withColumn("score", (F.coalesce("h", zero) + prior * F.col("acc")) / (F.coalesce("n", zero) + prior))
+    return scored.select("own", "model", "cls", "score", (F.col("score") - F.avg("score").over(Window.partitionBy("own", "cls"))).alias("edge"), "turn")
+
+
+def pool_router(df: DataFrame, fold: str, gold: str, models: dict[str, str], llm_ok: str, budget: float, prior: float = 20.0) -> DataFrame:
+    """df with `pred`, `free_ok` and `escalate`: of several cheap models the claim with the largest edge on the other folds'
+    board (ties: the more accurate model), and the classes so claimed that go to the expensive model: those that raise
+    balanced accuracy on the other folds most, one at a time, within the budget of the fold's own items. An item's copies, one
+    a fold, are settled in place from a map of models x classes."""
+    key = lambda m, p: F.concat(F.lit(f"{m}|"), p.cast("string"))
+    board = boards(df, fold, gold, models, prior).groupBy("own").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "model", F.col("cls").cast("string")), F.struct(F.round("edge", 12).alias("e"), (-F.col("turn")).alias("t"))))).alias("__board"))
+    claims = F.array(*[F.struct(F.element_at("__board", key(m, F.col(p))).alias("b"), F.col(p).alias("p")) for m, p in models.items()])
+    each = df.crossJoin(F.broadcast(board)).withColumn("pred", F.array_max(claims)["p"]).drop("__board")  # a row a fold
+    each = each.withColumn("free_ok", F.coalesce((F.col("pred") == F.col(gold)).cast("int"), F.lit(0)))
+    cube = each.groupBy("own", (F.col(fold) == F.col("own")).alias("mine"), F.col("pred").alias("p"), F.col(gold).alias("g")).agg(F.count("*").alias("n"), F.sum("free_ok").alias("f"), F.sum(llm_ok).alias("l")).collect()  # folds x 2 x classes x classes rows
+    rows = []
+    for own in sorted({r["own"] for r in cube}):
+        size: dict = {}
+        for r in cube:
+            if r["own"] == own and r["mine"]:
+                size[r["p"]] = size.get(r["p"], 0) + r["n"]
+        cells = [(r["p"], r["g"], r["n"], r["f"], r["l"]) for r in cube if r["own"] == own and not r["mine"]]
+        rows += [(own, p) for p in _handed(cells, size, budget * sum(size.values()))]
+    kinds = dict(each.dtypes)
+    chosen = df.sparkSession.createDataFrame(rows, f"own {kinds['own']}, pred {kinds['pred']}").withColumn("escalate", F.lit(True))
+    mine = each.where(F.col(fold) == F.col("own"))
+    return mine.join(F.broadcast(chosen), ["own", "pred"], "left").withColumn("escalate", F.coalesce("escalate", F.lit(False))).drop("own")
+
+
 def margin_signal(proba: Column) -> Column:
     """Largest probability less the second largest."""
     top = F.sort_array(proba, asc=False)

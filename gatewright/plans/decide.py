@@ -10,7 +10,7 @@ from gatewright.operators import defer as g
 from gatewright.operators import folds as f
 from gatewright.operators import metrics as m
 from gatewright.plans.base import Plans
-from gatewright.sources.fixtures import CLASSES, DOC_CLASSES_SQL, PAIR_LOG_SQL, PROBA_SQL, REPEATS_SQL, TURNS_SQL, doc_classes, pair_log, proba, repeats, turns, u_sql
+from gatewright.sources.fixtures import CLASSES, DOC_CLASSES_SQL, PAIR_LOG_SQL, PROBA_SQL, REPEATS_SQL, TURNS_SQL, doc_classes, members, pair_log, proba, repeats, turns, u_sql
 
 plans = Plans()
 P, R, Q = f"({PAIR_LOG_SQL})", f"({REPEATS_SQL})", f"({PROBA_SQL})"
@@ -127,6 +127,16 @@ def class_router(spark, d):
     return g.outcome(x, [], "gold", "free_pred", "llm_pred", "escalate")
 
 
+POOL = {"free": "free_pred", "b": "pred_b", "c": "pred_c"}
+
+
+@plans.add("q263_pool_router")
+def pool_router(spark, d):
+    """Three cheap models settle who speaks by the board of the other folds; then whole classes are handed over."""
+    x = g.pool_router(members(spark, d), "fold", "gold", POOL, "llm_ok", 0.4)
+    return g.outcome(x, [], "gold", "pred", "llm_pred", "escalate")
+
+
 @plans.add("q268_margin_signal", f"SELECT item_id, list_reverse_sort(proba)[1] - list_reverse_sort(proba)[2] AS margin FROM {Q}")
 def margin_signal(spark, d):
     return proba(spark, d).select("item_id", g.margin_signal(F.col("proba")).alias("margin"))

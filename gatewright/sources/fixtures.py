@@ -89,14 +89,16 @@ PROBA_SQL = f"""SELECT * EXCLUDE (w, s), list_transform(w, lambda x: x / s) AS p
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """proba with the probability vectors of two further models, `proba_b` (the cheap one drawn again) and `proba_llm`."""
+    """proba with the probability vectors of two further models, `proba_b` (the cheap one drawn again) and `proba_llm`, and
+    with the classes that two further cheap models name, `pred_b` and `pred_c` (good at the lower classes)."""
     d = proba(spark, sf_dir)
     again = F.when(u(45, "item_id") < 0.7, F.col("gold")).otherwise(F.floor(u(46, "item_id") * CLASSES)).cast("int")
     d = d.withColumn("__b", again)
     for name, told, seed in (("proba_b", "__b", 160), ("proba_llm", "llm_pred", 180)):
         weights = F.array(*[F.lit(0.05) + u(seed + c, "item_id") + F.when(F.col(told) == c, 0.5 + 2.5 * u(seed + 15, "item_id")).otherwise(0.0) for c in range(CLASSES)])
         d = d.withColumn("__w", weights).withColumn(name, F.expr("transform(__w, w -> w / aggregate(__w, 0D, (a, x) -> a + x))"))
-    return d.drop("__w", "__b")
+    third = F.when(u(47, "item_id") < 0.95 - 0.08 * F.col("gold"), F.col("gold")).otherwise(F.floor(u(48, "item_id") * CLASSES)).cast("int")
+    return d.withColumn("pred_b", F.col("__b")).withColumn("pred_c", third).drop("__w", "__b")
 
 
 def doc_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,3 +128,49 @@ def test_gain_for_a_tenth(spark):
     points = spark.createDataFrame([("confidence", 0.0, 0.5, 0.0), ("confidence", 0.2, 0.6, 0.25), ("confidence", 0.3, 0.7, 0.25), ("margin", 0.2, 0.9, 0.2)], "rule string, share double, balanced_accuracy double, llm_share double")
     got = [r["gain_per_tenth"] for r in al.gains(points).orderBy("share").collect()]
     assert got[0] is None and got[1] == pytest.approx(0.04) and got[2] is None
+
+
+def test_pool_router_against_python(spark):
+    """Board, arbitration and hand-over as loops over items."""
+    from gatewright.operators import defer as g
+    from gatewright.plans.decide import POOL
+    from gatewright.sources.fixtures import members
+
+    x = members(spark, SF_DIR).select("item_id", "fold", "gold", *POOL.values(), "llm_ok", "llm_pred")
+    rows = x.toPandas()
+    got = g.pool_router(x, "fold", "gold", POOL, "llm_ok", 0.4).toPandas().set_index("item_id")
+    assert len(got) == len(rows)
+    classes = sorted({c for m in POOL.values() for c in rows[m]})
+    for own in sorted(set(rows["fold"])):
+        tr, te = rows[rows["fold"] != own], rows[rows["fold"] == own]
+        acc = {m: (tr[p] == tr["gold"]).mean() for m, p in POOL.items()}
+        score = {(m, c): ((tr[p][tr[p] == c] == tr["gold"][tr[p] == c]).sum() + 20 * acc[m]) / ((tr[p] == c).sum() + 20) for m, p in POOL.items() for c in classes}
+        order = sorted(POOL, key=lambda m: (-round(acc[m], 12), list(POOL).index(m)))
+        edge = lambda m, c: round(score[m, c] - sum(score[k, c] for k in POOL) / len(POOL), 12)  # noqa: B023, E731
+        say = lambda r: max((edge(m, getattr(r, POOL[m])), -order.index(m), getattr(r, POOL[m])) for m in POOL)[2]  # noqa: B023, E731
+        train = [(say(r), r.gold, r.llm_ok) for r in tr.itertuples()]
+        mine = {r.item_id: say(r) for r in te.itertuples()}
+        assert mine == {i: got["pred"][i] for i in mine}
+
+        def balanced(taken):
+            by = {}
+            for p, gold, llm in train:  # noqa: B023
+                by.setdefault(gold, []).append(llm if p in taken else p == gold)
+            return sum(sum(v) / len(v) for v in by.values()) / len(by)
+
+        room, taken, left = 0.4 * len(te), set(), sorted({p for p, _, _ in train})
+        while left:
+            best = max(left, key=lambda c: (round(balanced(taken | {c}), 12), -c))
+            if balanced(taken | {best}) <= balanced(taken) + 1e-12:
+                break
+            left.remove(best)
+            size = sum(p == best for p in mine.values())
+            if 0 < size <= room:
+                room -= size
+                taken.add(best)
+        assert {got["pred"][i] for i in mine if got["escalate"][i]} == taken
+
+
+def test_pool_stays_within_its_budget(spark):
+    out = registry.QUERIES["q263_pool_router"](spark, SF_DIR).first()
+    assert 0 < out["llm_share"] <= 0.4 + 1e-9 and 0.5 < out["balanced_accuracy"] < 1
