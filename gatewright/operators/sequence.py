@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,25 @@ def backoff(df: DataFrame, table: DataFrame, conv: str, turn: str, label: str, o
     return out.select(*df.columns, "pred", "used")
 
 
+def sequence_head(df: DataFrame, train: Column, conv: str, turn: str, label: str, text: str, order: int) -> DataFrame:
+    """conv, turn, pred, used, label_conf, said, text_conf of every row that isn't `train`: the label that most often follows
+    the longest context of at most `order` true labels met in training, with its share there, and that label's most frequent
+    training text, with its share (ties: the lowest label, the first text). Rows go to the tables of contexts once, with a
+    key for each length of context; the longest that is found wins. Without training rows: nulls."""
+    h = history(df, conv, turn, label, order).withColumn("__train", train)
+    context = lambda n: F.struct(F.lit(n).alias("n"), F.concat_ws(",", *[F.col(f"h{i}") for i in range(1, n + 1)]).alias("context"))
+    whole = [F.when(F.col(f"h{n}").isNotNull() if n else F.lit(True), context(n)) for n in range(order + 1)]
+    keyed = F.explode(F.filter(F.array(*whole), lambda x: x.isNotNull())).alias("x")
+    cells = h.where("__train").select(keyed, F.col(label).alias("l")).groupBy("x.n", "x.context", "l").agg(F.count("*").alias("c"))
+    seen = cells.groupBy("n", "context").agg(F.max(F.struct("c", (-F.col("l")).alias("l"))).alias("b"), F.sum("c").alias("t")).select("n", "context", (-F.col("b.l")).alias("p"), (F.col("b.c") / F.col("t")).alias("share"))
+    texts = h.where("__train").groupBy(F.col(label).alias("p"), F.col(text).alias("w")).agg(F.count("*").alias("c"))
+    head = texts.groupBy("p").agg(F.min(F.struct((-F.col("c")).alias("c"), "w")).alias("b"), F.sum("c").alias("t")).select("p", F.col("b.w").alias("said"), (-F.col("b.c") / F.col("t")).alias("text_conf"))
+    asked = h.where("not __train").select(conv, turn, keyed).select(conv, turn, "x.n", "x.context")
+    found = asked.join(seen, ["n", "context"], "left").groupBy(conv, turn).agg(F.max(F.when(F.col("p").isNotNull(), F.struct("n", "p", "share"))).alias("b"))
+    named = found.select(conv, turn, F.col("b.p").alias("p"), F.col("b.n").alias("used"), F.col("b.share").alias("label_conf"))
+    return named.join(F.broadcast(head), "p", "left").select(conv, turn, F.col("p").alias("pred"), "used", "label_conf", "said", "text_conf")  # a row a label
+
+
 def free_run(df: DataFrame, table: list[tuple[int, str, int]], conv: str, turn: str, label: str, order: int) -> DataFrame:
     """conv, turn, label, pred, where a prediction feeds the next contexts in place of the true label. Runs a
     conversation at a time, as each step needs the one before. table: rows (n, context, best), labels ** order at most."""

@@ -9,6 +9,7 @@ from gatewright.functions import text as t
 from gatewright.operators import dialogue as dl
 from gatewright.operators import sequence as s
 from gatewright.operators import vectors as v
+from gatewright.operators import sequence as sq
 from gatewright.operators import similar as sim
 from gatewright.plans.base import Plans
 from gatewright.sources.fixtures import TURNS_SQL, table, turns, u, u_sql
@@ -415,6 +416,18 @@ def act_template_head(spark, d):
     return x.where("conv_id % 4 = 0").join(F.broadcast(best), "act", "left").select("conv_id", "turn", (F.col("best") == F.col("text")).alias("ok"), F.md5("best").alias("h"))  # one row an act
 
 
+@plans.add("q353_sequence_head", f"""WITH x AS (SELECT *, lag(act) OVER w AS h1, lag(act, 2) OVER w AS h2 FROM {T} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), tr AS (SELECT * FROM x WHERE conv_id % 4 > 0), te AS (SELECT * FROM x WHERE conv_id % 4 = 0),
+l AS (SELECT 0 AS n, NULL::INT AS a, NULL::INT AS b, act FROM tr UNION ALL SELECT 1, h1, NULL, act FROM tr WHERE h1 IS NOT NULL UNION ALL SELECT 2, h1, h2, act FROM tr WHERE h2 IS NOT NULL), c AS (SELECT n, a, b, act, count(*) AS c FROM l GROUP BY ALL),
+t AS (SELECT n, a, b, act AS p, c / (sum(c) OVER (PARTITION BY n, a, b))::DOUBLE AS s, row_number() OVER (PARTITION BY n, a, b ORDER BY c DESC, act) AS k FROM c),
+g AS (SELECT te.*, coalesce(t2.p, t1.p, t0.p) AS pred, CASE WHEN t2.p IS NOT NULL THEN 2 WHEN t1.p IS NOT NULL THEN 1 ELSE 0 END AS used, coalesce(t2.s, t1.s, t0.s) AS label_conf FROM te LEFT JOIN t t2 ON t2.k = 1 AND t2.n = 2 AND t2.a = h1 AND t2.b = h2 LEFT JOIN t t1 ON t1.k = 1 AND t1.n = 1 AND t1.a = h1 LEFT JOIN t t0 ON t0.k = 1 AND t0.n = 0),
+d AS (SELECT act, text, count(*) AS c FROM tr GROUP BY ALL), hd AS (SELECT act AS p, text AS said, c / (sum(c) OVER (PARTITION BY act))::DOUBLE AS text_conf, row_number() OVER (PARTITION BY act ORDER BY c DESC, text) AS k FROM d)
+SELECT g.conv_id, g.turn, pred, used, label_conf, md5(said) AS said, text_conf, label_conf * text_conf AS conf FROM g LEFT JOIN hd ON hd.p = pred AND hd.k = 1""")
+def sequence_head(spark, d):
+    """The next act from the acts before it by backing off, then that act's usual text, with both shares."""
+    got = sq.sequence_head(turns(spark, d), F.col("conv_id") % 4 > 0, "conv_id", "turn", "act", "text", 2)
+    return got.withColumn("said", F.md5("said")).withColumn("conf", F.col("label_conf") * F.col("text_conf"))
+
+
 @plans.add("q354_relaxed_match", f"""{_HEAD}, z AS (SELECT te.text, b.best, list_distinct(list_filter(string_split(lower(te.text), ' '), lambda w: w <> '')) AS u, list_distinct(list_filter(string_split(lower(b.best), ' '), lambda w: w <> '')) AS v FROM te LEFT JOIN b USING (act))
 SELECT count(*) AS n, avg(coalesce(best = text, false)::INT::DOUBLE) AS strict, avg(coalesce(len(u) > 0 AND len(v) > 0 AND len(list_intersect(u, v))::DOUBLE / (len(u) + len(v) - len(list_intersect(u, v))) >= 0.3::DOUBLE - 1e-9, false)::INT::DOUBLE) AS relaxed FROM z""")
 def relaxed_match(spark, d):
