@@ -8,6 +8,9 @@ together, and taken whole when even its furthest points are near enough; what is
 double precision, so the pairs are exact. A pair of chunks returns link counts and the edges of a spanning forest, so
 a large group of near copies yields rows in proportion to its size, not to its square.
 
+Chunks are sent to pairs of blocks, and not to pairs of chunks: a block holds the chunks of BLOCK vectors, cells side by
+side, and a chunk goes once to every block that it has a partner in. So n vectors are sent at most n / BLOCK + 1 times.
+
 Pairs at the threshold itself are linked if the cosine in double precision is not below it; equal cosines need no other
 rule. In many dimensions random vectors are all about equally far apart, and no bound of a tree prunes there: then pairs of
 chunks are compared point by point, and the work grows with the square of the distinct vectors.
@@ -31,6 +34,9 @@ from gatewright.llm.common import components, cut, table
 
 #: Vectors of a chunk, points of a leaf, pivots, and vectors of the sample that pivots are drawn from.
 CHUNK, LEAF, MOST_PIVOTS, SAMPLE = 4096, 16, 256, 4096
+
+#: Vectors of a block at most (a task holds two of them), and blocks at least, so that all cores have work.
+BLOCK, LEAST_BLOCKS = 1 << 16, 12
 _TINY = 1e-9
 
 
@@ -188,7 +194,27 @@ def dual_links(x: np.ndarray, s: np.ndarray, wx: np.ndarray, y: np.ndarray, t: n
         for v in range(c, d):
             forest.join(a, shift + v)
 
-    push(np.array([0]), np.array([0]), same)
+    def dense() -> None:
+        """All points against all: single precision with slack finds the candidates, double precision decides."""
+        p, q = x.astype(np.float32), y.astype(np.float32)
+        for lo in range(0, len(x), 1024):
+            i, j = np.nonzero(p[lo : lo + 1024] @ q.T >= cosine - 1e-5)
+            i += lo
+            some = i < j if same else np.ones(len(i), bool)
+            i, j = i[some], j[some]
+            some = np.einsum("kd,kd->k", x[i], y[j]) >= cosine
+            i, j = i[some], j[some]
+            np.add.at(nx, i, wy[j])
+            np.add.at(ny, j, wx[i])
+            for u, v in zip(i.tolist(), j.tolist(), strict=True):
+                forest.join(u, shift + v)
+
+    # trees whose root falls apart into nearly as many nodes as rows bound nothing
+    flat = lambda t, n: t[0, 5] - t[0, 4] >= 0.75 * n
+    if flat(s, len(x)) and flat(t, len(y)):
+        dense()
+    else:
+        push(np.array([0]), np.array([0]), same)
     while todo:
         left, right, own = todo.pop()
         point = s[left[0], 1] == 0 and t[right[0], 1] == 0
@@ -241,15 +267,15 @@ def _chunk_row(rows: pa.Table) -> pa.Table:
     cls = rows.column("cls").to_numpy()[order]
     weight = rows.column("weight").to_numpy()[order].astype(float)
     return pa.table({
-        "chunk": rows.column("chunk").slice(0, 1), "cell": rows.column("cell").slice(0, 1), "dim": rows.column("dim").slice(0, 1), "radius": pa.array([float(tree.table[0, 1])]), "centre": pa.array([x[order[0]].tolist()], pa.list_(pa.float64())),
+        **{c: rows.column(c).slice(0, 1) for c in ("chunk", "block", "cell", "space", "dim")}, "radius": pa.array([float(tree.table[0, 1])]), "centre": pa.array([x[order[0]].tolist()], pa.list_(pa.float64())),
         "payload": pa.array([raw[order].tobytes()], pa.binary()), "tree": pa.array([tree.table.tobytes()], pa.binary()), "cls": pa.array([cls.tobytes()], pa.binary()), "weight": pa.array([weight.tobytes()], pa.binary()),
     })
 
 
-_CHUNK_SCHEMA = "chunk string, cell int, dim int, radius double, centre array<double>, payload binary, tree binary, cls binary, weight binary"
+_CHUNK_SCHEMA = "chunk string, block long, cell int, space string, dim int, radius double, centre array<double>, payload binary, tree binary, cls binary, weight binary"
 
 
-def _pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
+def _pivots(vectors: DataFrame, n: int, spaces: int) -> dict[int, np.ndarray]:
     """Per length of vector: centres of a net of a sample of at most about SAMPLE vectors."""
     share = min(1.0, SAMPLE / max(n, 1))
     u = F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -257,7 +283,7 @@ def _pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
     for r in vectors.where(u < share).select("dim", "vector").limit(4 * SAMPLE).collect():
         by_dim.setdefault(r["dim"], []).append(r["vector"])
     out = {}
-    most = max(1, min(MOST_PIVOTS, n // CHUNK))
+    most = max(1, min(MOST_PIVOTS, n // (CHUNK * max(spaces, 1))))
     for dim, rows in by_dim.items():
         x = unit(np.array(sorted(rows), float))
         radius = 2.0
@@ -269,15 +295,17 @@ def _pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
     return out
 
 
-def link_vectors(df: DataFrame, key: str, vector: str, cosine: float = 0.9, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of df: key, n_links, component_id (smallest key reachable), kept."""
+def link_vectors(df: DataFrame, key: str, vector: str, cosine: float = 0.9, chunk: int = CHUNK, by: str | None = None) -> DataFrame:
+    """One row per row of df: key, n_links, component_id (smallest key reachable), kept. by: a column of few values; only
+    vectors of one value are linked, and none where it is null."""
     sound = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("vector", lambda e: e != 0)
-    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vector"))
-    rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vector"), (F.col(by).cast("string") if by else F.lit("")).alias("by"))
+    rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)) & F.col("by").isNotNull())
     # -0.0 and 0.0 are one number
     rows = rows.withColumn("vector", F.when(F.col("sound"), F.transform("vector", lambda e: e + F.lit(0.0).cast("float"))))
-    classes = cut(rows.where("sound").groupBy("vector").agg(F.count("*").alias("weight"), F.min("key").alias("least")).withColumn("cls", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "vectors")
-    pivots = _pivots(classes, classes.count())
+    classes = cut(rows.where("sound").groupBy("by", "vector").agg(F.count("*").alias("weight"), F.min("key").alias("least")).withColumn("cls", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")).withColumn("space", F.concat_ws("/", "dim", "by")), "vectors")
+    spaces = [r["n"] for r in classes.groupBy("space").agg(F.count("*").alias("n")).collect()]  # a row a length and value of `by`
+    pivots = _pivots(classes, sum(spaces), len(spaces))
     shared = df.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors a length
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,53 +322,68 @@ def link_vectors(df: DataFrame, key: str, vector: str, cosine: float = 0.9, chun
                 near = x @ p.T
                 cells[at] = near.argmax(1)
                 far[at] = np.sqrt(np.maximum(2 - 2 * near.max(1), 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(far)], ["vector", "cls", "dim", "weight", "cell", "far"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(far)], ["vector", "cls", "dim", "space", "weight", "cell", "far"])
 
-    placed = cut(classes.select("vector", "cls", "dim", "weight").mapInArrow(place, "vector array<float>, cls long, dim int, weight long, cell int, far double"), "placed")
-    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"), F.max("far").alias("reach"))
-    bounds = [(r["dim"], r["cell"], r["parts"], r["reach"]) for r in sizes.where("dim is not null").collect()]  # cells: pivots of each length
-    parts = F.create_map(*[F.lit(v) for d, c, k, _ in bounds for v in (f"{d}/{c}", k)]) if bounds else None
-    if parts is None:
+    placed = cut(classes.select("vector", "cls", "dim", "space", "weight").mapInArrow(place, "vector array<float>, cls long, dim int, space string, weight long, cell int, far double"), "placed")
+    sizes = placed.groupBy("space", "dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("reach"))
+    bounds = sorted(tuple(r) for r in sizes.where("dim is not null").collect())  # cells: pivots of each length
+    if not bounds:
         return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    name = F.concat_ws("/", "dim", "cell")
-    dealt = placed.withColumn("chunk", F.concat_ws("/", name, F.pmod(F.xxhash64("cls"), F.element_at(parts, name))))
-    chunks = cut(dealt.groupBy("chunk").applyInArrow(_chunk_row, _CHUNK_SCHEMA), "chunks")
+    block = max(chunk, min(BLOCK, sum(spaces) // LEAST_BLOCKS))
+    # of each cell: its chunks, and how many vectors stand in cells before it; a space begins in a block of its own
+    starts: list[tuple[str, int, int, int]] = []
+    at, before = 0, bounds[0][0]
+    for space, _, cell, n, _ in bounds:
+        at = at if space == before else -(-at // block) * block
+        starts.append((space, cell, -(-n // chunk), at))
+        at, before = at + -(-n // chunk) * chunk, space
+    cells = F.broadcast(df.sparkSession.createDataFrame(starts, "space string, cell int, parts int, at long"))
+    dealt = placed.join(cells, ["space", "cell"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    dealt = dealt.withColumn("chunk", F.concat_ws("/", "space", "cell", "part")).withColumn("block", F.floor((F.col("at") + F.col("part") * chunk) / block))
+    chunks = cut(dealt.select("chunk", "block", "cell", "space", "dim", "vector", "cls", "weight").groupBy("chunk").applyInArrow(_chunk_row, _CHUNK_SCHEMA), "chunks")
 
     eps = math.sqrt(max(0.0, 2 - 2 * cosine))
-    near_cells = [(d, a, b) for d, a, _, ra in bounds for e, b, _, rb in bounds if d == e and a <= b and (d not in pivots or float(np.linalg.norm(pivots[d][a] - pivots[d][b])) <= ra + rb + eps + _TINY)]
-    cell_pairs = df.sparkSession.createDataFrame(near_cells, "dim int, cell_a int, cell_b int")
-    side = chunks.select("dim", "cell", "chunk", "radius", "centre")
-    a = side.select("dim", F.col("cell").alias("cell_a"), F.col("chunk").alias("a"), F.col("radius").alias("ra"), F.col("centre").alias("ca"))
-    b = side.select("dim", F.col("cell").alias("cell_b"), F.col("chunk").alias("b"), F.col("radius").alias("rb"), F.col("centre").alias("cb"))
+    by_space: dict[str, list[tuple[int, int, float]]] = {}
+    for space, dim, cell, _, reach in bounds:
+        by_space.setdefault(space, []).append((dim, cell, reach))
+    near_cells = [(space, a, b) for space, own in by_space.items() for d, a, ra in own for _, b, rb in own if a <= b and (d not in pivots or float(np.linalg.norm(pivots[d][a] - pivots[d][b])) <= ra + rb + eps + _TINY)]
+    cell_pairs = df.sparkSession.createDataFrame(near_cells, "space string, cell_a int, cell_b int")
+    side = chunks.select("space", "cell", "chunk", "block", "radius", "centre")
+    a = side.select("space", F.col("cell").alias("cell_a"), F.col("chunk").alias("a"), F.col("block").alias("block_a"), F.col("radius").alias("ra"), F.col("centre").alias("ca"))
+    b = side.select("space", F.col("cell").alias("cell_b"), F.col("chunk").alias("b"), F.col("block").alias("block_b"), F.col("radius").alias("rb"), F.col("centre").alias("cb"))
     apart = F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = cell_pairs.join(a, ["dim", "cell_a"]).join(b, ["dim", "cell_b"]).where((F.col("cell_a") < F.col("cell_b")) | (F.col("a") <= F.col("b")))
-    pairs = cut(pairs.where(apart <= F.col("ra") + F.col("rb") + F.lit(eps + _TINY)).select("dim", "a", "b"), "pairs")
-    body = ["payload", "tree", "cls", "weight"]
-    work = pairs.join(chunks.select(F.col("chunk").alias("a"), *[F.col(c).alias(f"{c}_a") for c in body]), "a").join(chunks.select(F.col("chunk").alias("b"), *[F.col(c).alias(f"{c}_b") for c in body]), "b").select("dim", "a", "b", *[f"{c}_{s}" for s in "ab" for c in body])
-    work = work.repartition(max(1, min(pairs.count(), 4096)))  # a pair of chunks is the unit of work
-
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                dim, a, b = (batch.column(c)[k].as_py() for c in range(3))
-                side = []
-                for c in (3, 7):
-                    payload, tree, cls, weight = (batch.column(c + i)[k].as_py() for i in range(4))
-                    side.append((unit(np.frombuffer(payload, np.float32).reshape(-1, dim)), np.frombuffer(tree, float).reshape(-1, 6), np.frombuffer(cls, np.int64), np.frombuffer(weight, float)))
-                (x, s, cx, wx), (y, t, cy, wy) = side
+    pairs = cell_pairs.join(a, ["space", "cell_a"]).join(b, ["space", "cell_b"]).where((F.col("cell_a") < F.col("cell_b")) | (F.col("a") <= F.col("b")))
+    pairs = cut(pairs.where(apart <= F.col("ra") + F.col("rb") + F.lit(eps + _TINY)).select(F.least("block_a", "block_b").alias("left"), F.greatest("block_a", "block_b").alias("right"), "a", "b"), "pairs")
+    partners = pairs.groupBy("left", "right", F.col("a").alias("chunk")).agg(F.collect_list("b").alias("partners"))  # chunks of one block
+    others = pairs.select("left", "right", F.col("b").alias("chunk"), F.array().cast("array<string>").alias("partners")).distinct()
+    sent = partners.unionByName(others).groupBy("left", "right", "chunk").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    work = sent.join(chunks.select("chunk", "dim", "payload", "tree", "cls", "weight"), "chunk")
+
+    def traverse(rows: pa.Table) -> pa.Table:
+        """The pairs of chunks of a pair of blocks."""
+        held = {}
+        for name, dim, payload, tree, cls, weight in zip(*(rows.column(c).to_pylist() for c in ("chunk", "dim", "payload", "tree", "cls", "weight")), strict=True):
+            held[name] = unit(np.frombuffer(payload, np.float32).reshape(-1, dim)), np.frombuffer(tree, float).reshape(-1, 6), np.frombuffer(cls, np.int64), np.frombuffer(weight, float)
+        out = [np.zeros((0, 3), np.int64)]
+        for a, most in zip(rows.column("chunk").to_pylist(), rows.column("partners").to_pylist(), strict=True):
+            for b in most:
+                (x, s, cx, wx), (y, t, cy, wy) = held[a], held[b]
                 nx, ny, edges = dual_links(x, s, wx, y, t, wy, cosine, a == b)
                 every, counts = (cx, nx) if a == b else (np.concatenate([cx, cy]), np.concatenate([nx, ny]))
                 hit = np.flatnonzero(counts)
                 e = np.array(edges, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([every[hit], every[e[:, 0]]])), pa.array(np.concatenate([np.full(len(hit), -1), every[e[:, 1]]]), pa.int64()), pa.array(np.concatenate([counts[hit], np.zeros(len(e))]).astype(np.int64))], ["cls", "other", "links"])
+                out.append(np.column_stack([every[hit], np.full(len(hit), -1), counts[hit].astype(np.int64)]))
+                out.append(np.column_stack([every[e[:, 0]], every[e[:, 1]], np.zeros(len(e), np.int64)]))
+        all_ = np.concatenate(out)
+        return pa.table({c: all_[:, i] for i, c in enumerate(("cls", "other", "links"))})
 
-    found = cut(work.mapInArrow(traverse, "cls long, other long, links long"), "found")
+    found = cut(work.groupBy("left", "right").applyInArrow(traverse, "cls long, other long, links long"), "found")
     linked = found.where("other < 0").groupBy("cls").agg(F.sum("links").alias("links"))
     groups = components(found.where("other >= 0").select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "cls")
-    named = classes.select("vector", "cls", "weight", "least").join(groups, "cls", "left").join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = classes.select("by", "vector", "cls", "weight", "least").join(groups, "cls", "left").join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
-    labels = cut(named.join(smallest, "component").select("vector", "smallest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")), "labels")
-    out = rows.join(labels, "vector", "left")
+    labels = cut(named.join(smallest, "component").select("by", "vector", "smallest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")), "labels")
+    out = rows.join(labels, ["by", "vector"], "left")
     component = F.coalesce("smallest", "key")
     return out.select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 

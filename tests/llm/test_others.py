@@ -63,6 +63,43 @@ def test_vectors_against_brute_force(spark):
     assert ed.link_vectors(df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def test_vectors_are_sent_by_blocks_and_linked_by_group(spark):
+    """Chunks in several blocks: links are those of brute force; with `by`, those within a group."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(240, 8))
+    x[120:150] = x[:30] + rng.normal(size=(30, 8)) * 0.1
+    rows = [(i, [float(np.float32(e)) for e in v], "b" if i % 3 else None if i % 5 else "a") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, v array<float>, kind string")
+    u = ed.unit(np.array([r[1] for r in rows]))
+    for by in (None, "kind"):
+        near = u @ u.T >= 0.9
+        if by:
+            near &= np.array([[a[2] is not None and a[2] == b[2] for b in rows] for a in rows]) | np.eye(len(rows), dtype=bool)
+        comp = np.arange(len(rows))
+        for _ in rows:
+            comp = np.array([comp[n].min() for n in near])
+        got = sorted(tuple(r) for r in ed.link_vectors(df, "id", "v", 0.9, chunk=20, by=by).select("id", "n_links", "component_id").collect())
+        assert got == [(i, int(near[i].sum()) - 1, int(comp[i])) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("cosine", [0.5, 0.9, 0.99])
+def test_flat_trees_are_compared_densely(cosine):
+    rng = np.random.default_rng(7)
+    x, y = (ed.unit(rng.normal(size=(300, 32))) for _ in range(2))
+    y[:20] = ed.unit(x[:20] + rng.normal(size=(20, 32)) * 0.03)
+    trees = [ed.CoverTree(v) for v in (x, y)]
+    x, y = (v[t.order] for v, t in zip((x, y), trees, strict=True))
+    w = np.arange(300) + 1.0
+    for b, tb, wb in ((y, trees[1], w[::-1]), (x, trees[0], w)):
+        same = b is x
+        near = x @ b.T >= cosine
+        if same:
+            np.fill_diagonal(near, False)
+        nx, ny, edges = ed.dual_links(x, trees[0].table, w, b, tb.table, wb, cosine, same)
+        assert np.allclose(nx, near @ wb) and (same or np.allclose(ny, near.T @ w))
+        assert all(near[i, j - (0 if same else 300)] for i, j in edges) and len(edges) <= near.sum()
+
+
 @pytest.mark.parametrize("cosine", [0.5, 0.9, 0.99])
 def test_dual_traversal(cosine):
     rng = np.random.default_rng(4)
