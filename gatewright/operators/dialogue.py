@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from gatewright.operators import similar as sim
 from gatewright.functions import text as t
-from gatewright.operators.vectors import cosine
-from gatewright.sources.scratch import cut
+from gatewright.llm.embedding_dedup import link_vectors
 
 
 def dedup_form(text: Column) -> Column:
@@ -66,21 +65,11 @@ def merged_templates(df: DataFrame, by: list[str], text: str, example: str, most
 
 
 def clusters(df: DataFrame, key: str, vector: str, group: str, least: float, digits: int = 9) -> DataFrame:
-    """Single-linkage clusters within groups: pairs of one group with a cosine of at least `least` are linked; a cluster's
-    label is its smallest key. Groups are stated small sets (templates of one act); labels travel along links until none
-    changes, in as many rounds as the longest path of links takes."""
-    a = df.select(F.col(key).alias("a"), F.col(group).alias("g"), F.col(vector).alias("va"))
-    b = df.select(F.col(key).alias("b"), F.col(group).alias("g"), F.col(vector).alias("vb"))
-    links = a.join(b, "g").where("a < b").where(F.round(cosine("va", "vb"), digits) >= least).select("a", "b")
-    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = df.select(F.col(key).alias("a"), F.col(key).alias("label"))
-    while True:
-        near = both.join(labels.withColumnRenamed("a", "b").withColumnRenamed("label", "other"), "b").groupBy("a").agg(F.min("other").alias("other"))
-        after = cut(labels.join(near, "a", "left").select("a", "label", F.least("label", F.coalesce("other", "label")).alias("next")), "labels")
-        changed = not after.where("next < label").isEmpty()
-        labels = after.select("a", F.col("next").alias("label"))
-        if not changed:
-            return labels.withColumnRenamed("a", key)
+    """Single-linkage clusters within groups: pairs of one group with a cosine (rounded) of at least `least` are linked; a
+    cluster's label is its smallest key. Vectors of a group are compared by blocks of bounded size, and a pair of blocks
+    gives a spanning forest of its links, from which components are found in rounds."""
+    linked = link_vectors(df, key, vector, least - 0.5 * 10.0**-digits, by=group)
+    return linked.select(key, F.col("component_id").alias("label"))
 
 
 def action_patterns(df: DataFrame, by: list[str], values: str) -> DataFrame:
