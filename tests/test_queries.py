@@ -1,5 +1,7 @@
 """Every query of the engine against its SQL on the smallest tables."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from gatewright.plans import registry
@@ -32,6 +34,15 @@ def test_containment_is_of_the_whole_item(spark, tmp_path):
     assert {r["item_id"]: r["holders"] for r in got} == {1: 1, 2: 0}
 
 
+def test_order_headroom_shuffles_texts_and_not_bigrams(spark, tmp_path):
+    """Rows of one id count together, ids without a bigram have no row; nothing is exploded."""
+    rows = [(1, "a b a"), (1, "b a  a"), (2, "x x x"), (3, "one"), (4, None), (5, "A b"), (None, "a b c"), (None, "c b")]
+    pq.write_table(pa.table([list(c) for c in zip(*rows, strict=True)], names=["doc_id", "text"]), f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["q295_order_headroom"](spark, str(tmp_path))
+    assert spark_rows(df) == duck_rows(registry.ORACLE_SQL["q295_order_headroom"], str(tmp_path))
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
