@@ -96,3 +96,31 @@ def test_isotonic_is_by_class(spark):
     by = {c: [r["calibrated"] for r in got if r["cls"] == c] for c in range(3)}
     w = 40 / 60  # forty rows of a class in the other fold
     assert len(got) == len(rows) and min(by[0]) >= w and max(by[1]) <= 1 - w and 0 < by[2][0] < 1
+
+
+def test_tfidf_equals_plain_counts(spark):
+    """Odd texts; the commonest terms of each part alone, ties by name; no row's n-grams as an array of strings."""
+    import math
+    import re
+    from collections import Counter
+
+    from gatewright.ml import models
+
+    texts = ["a b a, b!", "", "A b c", "été a b " * 3, "c", " .;- "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["features"].toArray() for r in models.tfidf(rows, 6, 1).transform(rows).collect()}
+
+    def parts(text):
+        w = re.findall(r"[^\W_]+", text.lower())
+        return Counter(w), Counter(map(" ".join, zip(w, w[1:]))), Counter(f" {x} "[i : i + n] for x in w for n in (3, 4, 5) for i in range(len(x) + 3 - n))
+
+    every = [parts(x) for x in texts]
+    for i in range(len(texts)):
+        want = []
+        for k in range(3):
+            tf = sum((e[k] for e in every), Counter())
+            kept = sorted(tf, key=lambda x: (-tf[x], x))[:6]
+            v = [every[i][k][x] * (math.log((1 + len(texts)) / (1 + sum(x in e[k] for e in every))) + 1) for x in kept]
+            norm = math.sqrt(sum(x * x for x in v)) or 1
+            want += [x / norm for x in v]
+        assert list(got[i]) == pytest.approx(want)
