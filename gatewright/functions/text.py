@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,20 +69,31 @@ def negated(text: Column, label: Column) -> Column:
     return (F.size(held) > 0) & F.forall(held, lambda c: F.regexp_like(c, before))
 
 
+def _resolvable(raw: Column, labels: list[str]) -> Column:
+    """Whether raw can resolve to a label at all: undecorated, with or without prefixes, it ends as some label does. One
+    search of a fixed pattern, for texts of which few are labels."""
+    last = [F.element_at(F.split(undecorate(F.lit(x)), " "), -1) for x in labels]
+    return F.regexp_like(F.lower(raw), F.concat(F.lit("(?:"), F.concat_ws("|", *[quoted(x) for x in last]), F.lit(r")[\s*`\"'.:;]*$")))
+
+
 def resolve(raw: Column, labels: list[str]) -> Column:
     """The label that raw names: as it stands, else in any case, else undecorated, else without prefixes; null if
-    none or more than one does."""
-    every = F.array(*[F.lit(label) for label in labels])
+    none or more than one does. Each form of raw is made once, whatever the number of labels, and only where it may count."""
+
+    def only(form: Column, of: Callable[[Column], Column]) -> Column:
+        every = F.array(*[F.struct(of(F.lit(x)).alias("form"), F.lit(x).alias("label")) for x in labels])  # constant
+        return F.element_at(F.transform(F.array(form), lambda f: _single(F.filter(every, lambda e: e["form"] == f))), 1)["label"]
+
+    return F.when(_resolvable(raw, labels), F.coalesce(
+        only(raw, lambda x: x),
+        only(F.lower(F.trim(raw)), F.lower),
+        only(undecorate(raw), undecorate),
+        only(normalize_answer(raw), undecorate),
+    ))
 
-    def only(found: Column) -> Column:
-        return F.when(F.size(found) == 1, F.element_at(found, 1))
 
-    return F.coalesce(
-        only(F.filter(every, lambda x: x == raw)),
-        only(F.filter(every, lambda x: F.lower(x) == F.lower(F.trim(raw)))),
-        only(F.filter(every, lambda x: undecorate(x) == undecorate(raw))),
-        only(F.filter(every, lambda x: undecorate(x) == normalize_answer(raw))),
-    )
+def _single(found: Column) -> Column:
+    return F.when(F.size(found) == 1, F.element_at(found, 1))
 
 
 def score_prediction(gold: Column, raw: Column, labels: list[str]) -> Column:

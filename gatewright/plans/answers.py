@@ -42,8 +42,8 @@ _RESOLVED = f"CASE WHEN raw IN {_IN} THEN raw WHEN lower(trim(raw)) IN {_IN} THE
 @plans.add("q046_resolve_words", f"WITH {WORDS_SQL} SELECT label, count(*) AS n, count(DISTINCT raw) AS forms FROM (SELECT raw, {_RESOLVED} AS label FROM rw) WHERE label IS NOT NULL GROUP BY label")
 def resolve_words(spark, d):
     """Which label each word or run of three names, by any of the four stages, and in how many spellings."""
-    x = said(spark, d).groupBy("raw").agg(F.count("*").alias("c")).withColumn("label", t.resolve(F.col("raw"), LABELS))
-    return x.where("label IS NOT NULL").groupBy("label").agg(F.sum("c").alias("n"), F.count("*").alias("forms"))
+    x = said(spark, d).select("raw", t.resolve(F.col("raw"), LABELS).alias("label")).where("label IS NOT NULL")  # before the shuffle: few are labels
+    return x.groupBy("label", "raw").agg(F.count("*").alias("c")).groupBy("label").agg(F.sum("c").alias("n"), F.count("*").alias("forms"))
 
 
 @plans.add("q053_exact_words", f"WITH {WORDS_SQL} SELECT doc_id, lower(trim(raw)) AS pred, count(*) AS n FROM rw WHERE lower(trim(raw)) IN {_IN} GROUP BY ALL")

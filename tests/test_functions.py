@@ -98,6 +98,22 @@ def test_isotonic_is_by_class(spark):
     assert len(got) == len(rows) and min(by[0]) >= w and max(by[1]) <= 1 - w and 0 < by[2][0] < 1
 
 
+def test_labels_are_found_before_the_shuffle(spark):
+    """q046_resolve_words sends on the texts that name a label, not every text."""
+    from gatewright.plans import registry
+
+    plan = registry.QUERIES["q046_resolve_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan[plan.rindex("Aggregate") :]
+
+
+def test_resolve_odd_texts(spark):
+    """Each stage on its own, labels that are equal in a later stage, and labels that are no word."""
+    labels = ["Yes", "yes!", "a b", "A.B", "."]
+    raws = {"Yes": "Yes", " YES ": "Yes", "yes!": "yes!", "a b": "a b", "a*b": None, "A.B": "A.B", "the answer is *yes*": "Yes", "label sentiment: YES.\n": "Yes", "answered yes": None, "answer": ".", "": ".", "it is a  b": None, "yes no": None}
+    got = spark.createDataFrame([(r,) for r in raws], "r string").select("r", t.resolve(F.col("r"), labels).alias("x")).collect()
+    assert {r["r"]: r["x"] for r in got} == raws
+
+
 def test_tfidf_equals_plain_counts(spark):
     """Odd texts; the commonest terms of each part alone, ties by name; no row's n-grams as an array of strings."""
     import math
