@@ -98,10 +98,10 @@ def _single(found: Column) -> Column:
 
 def score_prediction(gold: Column, raw: Column, labels: list[str]) -> Column:
     """1 if raw resolves to gold, or else mentions, not negated, gold alone; otherwise 0."""
-    every = F.array(*[F.lit(label) for label in labels])
-    named = F.filter(every, lambda x: mentions(raw, x) & ~negated(raw, x))
-    single = F.when(F.size(named) == 1, F.element_at(named, 1))
-    return F.coalesce((F.coalesce(resolve(raw, labels), single) == gold).cast("int"), F.lit(0))
+    # one constant pattern a label, searched for only in texts that hold the label's letters
+    held = lambda x: F.contains(F.lower(raw), F.lower(F.lit(x))) & mentions(raw, F.lit(x)) & ~negated(raw, F.lit(x))
+    named = F.filter(F.array(*[F.when(held(x), F.lit(x)) for x in labels]), lambda x: x.isNotNull())
+    return F.coalesce((F.coalesce(resolve(raw, labels), _single(named)) == gold).cast("int"), F.lit(0))
 
 
 def lenient_label(raw: Column, labels: list[str]) -> Column:

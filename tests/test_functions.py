@@ -114,6 +114,14 @@ def test_resolve_odd_texts(spark):
     assert {r["r"]: r["x"] for r in got} == raws
 
 
+def test_scores_search_constant_patterns(spark):
+    """q050_scored_snippets builds no pattern per row."""
+    from gatewright.plans import registry
+
+    plan = registry.QUERIES["q050_scored_snippets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat((?<!" not in plan
+
+
 def test_tfidf_equals_plain_counts(spark):
     """Odd texts; the commonest terms of each part alone, ties by name; no row's n-grams as an array of strings."""
     import math
