@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,17 @@ def test_tfidf_equals_plain_counts(spark):
             norm = math.sqrt(sum(x * x for x in v)) or 1
             want += [x / norm for x in v]
         assert list(got[i]) == pytest.approx(want)
+
+
+def test_thresholds_of_other_folds(spark):
+    """By brute force: ties, scores outside 0 to 1 and all in one step, groups too small for the rank, nulls; no copies of rows."""
+    rng = random.Random(5)
+    rows = [(g, f, rng.choice([None, 0.5, -3.0, 7.0, rng.random(), 0.25 + rng.random() / 1e5])) for g, n in (("a", 300), ("b", 60), ("c", 4)) for f in range(3) for _ in range(n)]
+    scores = spark.createDataFrame(rows, "g string, f int, s double")
+    own = scores.select(F.col("f").alias("__own")).distinct()
+    got = {(r["g"], r["__own"]): (r["threshold"], r["n"]) for r in conformal.other_thresholds(scores, own, ["g"], "f", "s", 0.1).collect()}
+    for g in "abc":
+        for o in range(3):
+            held = sorted(s for x, f, s in rows if x == g and f != o and s is not None)
+            k = -(-(len(held) + 1) * 9 // 10)
+            assert got[g, o] == (held[k - 1] if k <= len(held) else math.inf, len(held))
