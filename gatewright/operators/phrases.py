@@ -101,12 +101,10 @@ def tags(df: DataFrame, key: str, text: str, phrases: DataFrame, breaks: str = "
     signs = "".join("\\" + c for c in breaks)
     pieces = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"([\p{{L}}\p{{N}}]+|[{signs}])"))
     rows = cut(df.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), pieces.alias("__t")), "pieces")
-    each = rows.select("__row", "__key", F.posexplode("__t").alias("start", "piece"))
-    is_break = F.col("piece").isin(*breaks)
     width = F.explode(F.array(*[F.lit(m) for m in lengths])) if lengths else F.lit(None).cast("int")
     sized = rows.select("__row", "__t", width.alias("m")).where(F.col("m") <= F.size("__t"))
     runs = sized.select("__row", "m", F.posexplode(F.expr("transform(sequence(1, size(__t) - m + 1), i -> array_join(slice(__t, i, m), ' '))")).alias("start", "run"))
-    held = _may_be(runs, known).join(known.withColumnRenamed("phrase", "run"), ["run", "m"])
+    held = _may_be(runs, known).join(known.withColumnRenamed("phrase", "run"), ["run", "m"]).repartition("__row")  # the sweep's one shuffle
     longest = held.groupBy("__row", "start").agg(F.max(F.struct("m", "kind", "name")).alias("x")).select("__row", "start", (F.col("start") + F.col("x.m")).alias("end"), "x.kind", "x.name")
     none = F.expr("CAST(array() AS array<struct<start: int, end: int, kind: string, name: string>>)")
     # where no earlier match reaches, the sweep starts afresh: the matches between two such places are swept on their own
@@ -116,9 +114,13 @@ def tags(df: DataFrame, key: str, text: str, phrases: DataFrame, breaks: str = "
     sorted_ = linked.groupBy("__row", "__link").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "name"))).alias("x"))
     took = lambda a, e: F.when(e["start"] >= a["at"], F.struct(e["end"].alias("at"), F.concat(a["got"], F.array(e)).alias("got"))).otherwise(a)
     swept = F.aggregate("x", F.struct(F.lit(0).alias("at"), none.alias("got")), took, lambda a: a["got"])
-    taken = cut(sorted_.select("__row", F.inline(swept)), "taken")
-    covered = taken.select("__row", F.explode(F.sequence("start", F.col("end") - 1)).alias("start"))
-    rest = each.join(covered, ["__row", "start"], "left_anti").where(is_break | ~F.col("piece").isin(*stop)) if stop else each.join(covered, ["__row", "start"], "left_anti")
-    alone = rest.select("__row", "start", (F.col("start") + 1).alias("end"), F.when(is_break, "BREAK").otherwise("WORD").alias("kind"), F.col("piece").alias("name"))
-    every = alone.unionByName(taken.where(F.col("kind") != neutral))
-    return every.join(rows.select("__row", "__key"), "__row").select(F.col("__key").alias(key), "start", "end", "kind", "name")
+    taken = sorted_.select("__row", F.inline(swept)).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "name"))).alias("__s"))
+    # a row's words and breaks between its matches come out of its own array: places are never rows of a shuffle
+    both = rows.join(taken, "__row", "left").select("__key", "__t", F.coalesce("__s", none).alias("__s"))
+    ends, starts = F.concat(F.array(F.lit(0)), F.transform("__s", lambda e: e["end"])), F.concat(F.transform("__s", lambda e: e["start"]), F.array(F.size("__t")))
+    gaps = F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    kept = lambda w: w.isin(*breaks) | ~w.isin(*stop) if stop else F.lit(True)
+    one = lambda w, i: F.struct(i.alias("start"), (i + 1).alias("end"), F.when(w.isin(*breaks), "BREAK").otherwise("WORD").alias("kind"), w.alias("name"))
+    between = F.flatten(F.transform(gaps, lambda g: F.transform(F.slice("__t", g["a"] + 1, g["b"] - g["a"]), lambda w, i: one(w, g["a"] + i))))
+    alone, tagged = F.filter(between, lambda e: kept(e["name"])), F.filter("__s", lambda e: e["kind"] != neutral)
+    return both.select(F.col("__key").alias(key), F.explode(F.concat(alone, tagged)).alias("x")).select(key, "x.*")

@@ -82,3 +82,9 @@ def test_many_phrases_are_many(spark):
 
     assert line_openings(spark, SF_DIR).count() > 1000
     assert registry.QUERIES["q092_many_phrases"](spark, SF_DIR).count() > 100
+
+
+def test_places_are_no_rows_of_a_shuffle(spark):
+    """q094_concept_tags joins no table of a row a word: words between matches come out of the row's array."""
+    plan = registry.QUERIES["q094_concept_tags"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "posexplode(__t" not in plan
