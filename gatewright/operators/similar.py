@@ -34,12 +34,15 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, by: list[str], tokens: str,
     def prefixes(sets: DataFrame, name: str) -> DataFrame:
         each = sets.select(*by, "cls", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(count, "token")
         order = each.groupBy(*by, "cls", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-        first = order.select(*by, F.col("cls").alias(name), F.col("size").alias(f"{name}_size"), F.explode(F.transform(F.slice("t", 1, keep.cast("int")), lambda e: e["token"])).alias("token"))
+        first = order.select(*by, F.col("cls").alias(name), F.col("size").alias(f"{name}_size"), F.posexplode(F.transform(F.slice("t", 1, keep.cast("int")), lambda e: e["token"])).alias(f"{name}_at", "token"))
         return first
 
     p, q = prefixes(x, "a"), prefixes(y, "b")
     sizes = (F.col("b_size") >= F.col("a_size") * least - EPS) & (F.col("a_size") >= F.col("b_size") * least - EPS)
-    pairs = p.join(q, [*by, "token"]).where(sizes).select(*by, "a", "b").distinct()
+    # no token before the first shared one is shared: from there on the shorter rest must hold the overlap that is needed
+    rest = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    enough = rest >= (F.col("a_size") + F.col("b_size")) * (least / (1 + least)) - EPS
+    pairs = p.join(q, [*by, "token"]).where(sizes & enough).select(*by, "a", "b").distinct()
     named = lambda sets, name: sets.select(*by, F.col("cls").alias(name), F.col("tokens").alias(f"{name}_tokens"))
     both = pairs.join(named(x, "a"), [*by, "a"]).join(named(y, "b"), [*by, "b"])
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))

@@ -373,7 +373,10 @@ def equivalence(spark, d):
     """Whether a turn equals a template of its act: as it stands, by form, nearly (Jaccard of the words of 0.6)."""
     x = turns(spark, d).withColumn("form", dl.dedup_form(F.col("text"))).withColumn("words", F.filter(F.split("form", " "), lambda w: w != ""))
     tr, te = x.where("conv_id % 4 > 0"), x.where("conv_id % 4 = 0")
-    near = sim.jaccard_pairs(te, tr, ["act"], "words", 0.6).select("act", F.col("a").alias("cls")).distinct().withColumn("near", F.lit(True))
+    sets = lambda side: side.where("size(words) > 0").select("act", "words", sim.set_digest(F.col("words")).alias("cls"))
+    equal = sets(te).join(sets(tr).select("act", "cls").distinct(), ["act", "cls"], "left_semi").select("act", "cls")
+    other = sets(te).join(equal.distinct(), ["act", "cls"], "left_anti")  # sets that the templates hold need no search
+    near = sim.jaccard_pairs(other, tr, ["act"], "words", 0.6).select("act", F.col("a").alias("cls")).unionByName(equal).distinct().withColumn("near", F.lit(True))
     flag = lambda column, name: tr.select("act", F.md5(column).alias(f"__{column}")).distinct().withColumn(name, F.lit(True))
     known = tr.select("act").distinct()
     out = te.join(F.broadcast(known), "act").withColumn("__text", F.md5("text")).withColumn("__form", F.md5("form")).withColumn("cls", sim.set_digest(F.col("words")))  # a row an act

@@ -87,3 +87,14 @@ def test_nothing_is_similar_to_nothing(spark):
     empty = sim.gram_weights(a.limit(0), "id", F.col("words"))
     full = sim.gram_weights(a.withColumnRenamed("id", "j"), "j", F.col("words"))
     assert sim.nearest(empty, full, "id", "j").count() == 0 and sim.cosine_pairs(empty, full, "id", "j", 0.5).count() == 0
+
+
+def test_equal_sets_are_not_searched(spark):
+    """q344_equivalence searches near templates only for turns whose words are no template's."""
+    from gatewright.plans import registry
+
+    plan = registry.QUERIES["q344_equivalence"](spark, "/root/testdata/sf0.001")
+    assert plan.count() > 0
+    names = [f for f in plan.inputFiles() if "/sets-" in f]
+    sides = [spark.read.parquet(f).select("act", "cls") for f in {f.rsplit("/", 1)[0] for f in names}]
+    assert len(sides) == 2 and sides[0].intersect(sides[1]).count() == 0
