@@ -38,6 +38,26 @@ def test_occurrences(spark, part_bytes):
     assert sorted((str(r["doc_id"]), r["phrase"], r["start"]) for r in got) == sorted(want)
 
 
+def test_passes_do_not_grow_with_phrases(spark):
+    """q092_many_phrases: two passes over the texts at most, however many times part_bytes the phrases are."""
+    df = spark.createDataFrame(texts(), "doc_id long, text string")
+    many = spark.createDataFrame([(f"a b x{i}",) for i in range(500)] + [("a",), ("b c d e",)], "phrase string")
+    out = ph.occurrences(df, "doc_id", "text", many, "phrase", 64)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 2
+    want = [(str(k), p, i) for k, t in texts() for p in ("a", "b c d e") for w in [words(t)] for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    assert sorted((str(r["doc_id"]), r["phrase"], r["start"]) for r in out.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 19])
+def test_full_filter_loses_and_adds_nothing(spark, monkeypatch, bits):
+    """Where all runs pass the filter, the join alone decides; order of words and ends of texts count."""
+    monkeypatch.setattr(ph, "BITS_MOST", bits)
+    df = spark.createDataFrame([(i % 3, t) for i, t in enumerate(["a b", "b a c", None, "c", "a b c a b", ""] * 300)], "doc_id long, text string")
+    some = spark.createDataFrame([("b a",), ("a b",), ("c a b",), ("b c c",), ("c",)], "phrase string")
+    got = ph.occurrences(df, "doc_id", "text", some, "phrase", 0).groupBy("phrase").count().collect()
+    assert {r["phrase"]: r["count"] for r in got} == {"a b": 900, "b a": 300, "c a b": 300, "c": 900}
+
+
 def test_no_phrases_or_texts(spark):
     df = spark.createDataFrame(texts(), "doc_id long, text string")
     none = spark.createDataFrame([], "phrase string, kind string, name string")
