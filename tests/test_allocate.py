@@ -10,6 +10,7 @@ from gatewright.operators import stacking as st
 from gatewright.plans import cascade
 from gatewright.plans import registry
 from gatewright.sources.fixtures import CLASSES
+from tests.compare import duck_rows, spark_rows
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -174,3 +175,25 @@ def test_pool_router_against_python(spark):
 def test_pool_stays_within_its_budget(spark):
     out = registry.QUERIES["q263_pool_router"](spark, SF_DIR).first()
     assert 0 < out["llm_share"] <= 0.4 + 1e-9 and 0.5 < out["balanced_accuracy"] < 1
+
+
+def test_unlabelled_items(spark, tmp_path):
+    """q269_deferral_curve equals its SQL where labels are null: such items have no committee score and no outcome."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    e.withColumn("label", F.when(F.col("vec_id") % 7 != 3, F.col("label"))).coalesce(1).write.parquet(str(tmp_path / "made"))
+    (part,) = (tmp_path / "made").glob("*.parquet")
+    part.rename(tmp_path / "embeddings.parquet")
+    name = "q269_deferral_curve"
+    got, want = spark_rows(registry.QUERIES[name](spark, str(tmp_path))), duck_rows(registry.ORACLE_SQL[name], str(tmp_path))
+    assert got == want
+
+
+def test_null_scores_are_left_out(spark):
+    rows = [(i, i % 2, None if i % 3 == 0 else float(i * 37 % 101)) for i in range(60)]
+    df = spark.createDataFrame([*rows, (60, 2, None)], "i long, fold int, s double")
+    got = {(r["fold"], r["share"]): r["t"] for r in al.share_thresholds(df, [], "fold", "s", [0.1, 0.5, 0.75]).collect()}
+    for (fold, share), t in got.items():
+        assert t == pytest.approx(np.quantile([s for _, f, s in rows if f != fold and s is not None], share))
+    assert len(got) == 9
+    none = spark.createDataFrame([(0, None), (1, None)], "fold int, s double")
+    assert {r["t"] for r in al.share_thresholds(none, [], "fold", "s", [0.0, 0.5]).collect()} == {None}
