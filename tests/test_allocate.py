@@ -1,5 +1,7 @@
 """The search over budgets and the class-aware layer against NumPy and plain Python."""
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -197,3 +199,17 @@ def test_null_scores_are_left_out(spark):
     assert len(got) == 9
     none = spark.createDataFrame([(0, None), (1, None)], "fold int, s double")
     assert {r["t"] for r in al.share_thresholds(none, [], "fold", "s", [0.0, 0.5]).collect()} == {None}
+
+
+def test_balanced_accuracy_does_not_hang_on_the_order_of_classes(spark):
+    """Classes' accuracies have one mean, the nearest double, in whatever order their rows come (q264_committee, q269_deferral_curve)."""
+    rng = np.random.default_rng(5)
+    n = rng.integers(900, 1100, 10)
+    right = [int(rng.integers(600, k)) for k in n]
+    rows = [(order, int(label), int(n[c]), right[c], 0) for order in range(40) for c, label in enumerate(rng.permutation(1000)[:10])]
+    cells = spark.createDataFrame(rows, "rule int, gold int, n long, right long, called long")
+    want = float(sum(Fraction(r, int(k)) for r, k in zip(right, n, strict=True)) / 10)
+    assert {r["balanced_accuracy"] for r in al.curve(cells, ["rule"], "gold").collect()} == {want}
+    items = spark.createDataFrame([(i, g, k < r) for i, g, c, r, _ in rows[:50] for k in range(c)], "rule int, gold int, ok boolean")
+    got = al.outcomes(items.select("rule", "gold", F.col("ok").cast("int").alias("f"), F.lit(1).alias("l"), F.lit(False).alias("escalate")), ["rule"], "gold", "f", "l")
+    assert {r["balanced_accuracy"] for r in got.collect()} == {want}
