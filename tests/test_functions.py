@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,35 @@ def test_thresholds_of_other_folds(spark):
             held = sorted(s for x, f, s in rows if x == g and f != o and s is not None)
             k = -(-(len(held) + 1) * 9 // 10)
             assert got[g, o] == (held[k - 1] if k <= len(held) else math.inf, len(held))
+
+
+def test_fits_end_at_the_minimum(spark):
+    """q284_text_classifier's fits, side by side: the slope of scikit-learn's objective, from transform()'s vectors, is nothing."""
+    rows = spark.createDataFrame([(i, i % 3, i // 3 % 3, f"word{i % 3 if i % 5 else 1} word{i % 7} some w{i % 4}" if i % 11 else "") for i in range(66)], "id int, label int, inner int, text string")
+    vectors = models.tfidf(rows, 40, 1)
+    idfs, terms = spark.sparkContext.broadcast(vectors.idf), sum(map(len, vectors.idf))
+    held = vectors.counted(rows, ["id", "label", "inner"])
+    wanted = vectors.transform(rows).collect()
+    for c, without in ((0.1, 0), (10.0, 2)):
+        both = models.fit(held, idfs, c, [np.zeros((3, terms + 1))] * 2, [without, -1], [sum(r["inner"] != k for r in wanted) for k in (without, -1)])
+        for w, k in zip(both, (without, -1), strict=True):
+            x = np.array([[*r["features"].toArray(), 1.0] for r in wanted if r["inner"] != k])
+            e = np.exp(x @ w.T)
+            off = e / e.sum(1, keepdims=True) - np.eye(3)[[r["label"] for r in wanted if r["inner"] != k]]
+            assert np.abs((off.T @ x + np.c_[w[:, :-1], np.zeros(3)] / c) / len(x)).max() <= 1.001e-4
+        got = {r["id"]: r for r in models.scored(held, idfs, both[1][None]).collect()}
+        for r in wanted:
+            e = np.exp(both[1] @ [*r["features"].toArray(), 1.0])
+            assert got[r["id"]]["pred"] == e.argmax() and got[r["id"]]["conf"] == pytest.approx(e.max() / e.sum())
+
+
+def test_the_whole_grid_is_searched(spark, monkeypatch):
+    """q284_text_classifier: five values of C on three inner folds each, then all rows; fewer folds for a class of two texts."""
+    fits, true = [], models.fit
+    monkeypatch.setattr(models, "fit", lambda held, idfs, c, starts, without, sizes: fits.append((c, without)) or true(held, idfs, c, starts, without, sizes))
+    rows = [(i, i % 2, i % 4 // 2, f"{'abc' if i % 4 < 2 else 'xyz'} w{i}") for i in range(24)] + [(24, 0, 2, "rare one"), (25, 0, 2, "rare two"), (26, 1, 2, "rare six"), (27, 1, 2, "rare ten")]
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = models.text_classifier(spark.createDataFrame(rows, "id long, part int, y int, t string"), "part", "t", "y", "id", 2)
+    assert {(r["item"], r["fold"], r["gold"]) for r in got.collect()} == {r[:3] for r in rows}
+    assert len(fits) == 12 and [(c, w) for c, w in fits if w != [-1]] == [(c, [0, 1]) for c in (0.1, 0.3, 1.0, 3.0, 10.0)] * 2 and models.INNER == 3
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before  # no copy of the vectors stays
